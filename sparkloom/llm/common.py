@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows handed to a Python kernel at once; bounds worker memory for long texts.
 SLICE_ROWS = 256
@@ -36,7 +37,7 @@ def keyed_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *m
 
 
 def map_slices(
-    df: DataFrame, kernel: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | list[pa.RecordBatch]]], schema: str,
+    df: DataFrame, kernel: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | list[pa.RecordBatch]]], schema: str | StructType,
     rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """``mapInArrow`` with a kernel built once per task and fed slices of at most ``rows`` rows."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("tokens", "media")
+MODULES = ("tokens", "decontaminate", "media")
 
 
 def _merged(attribute: str) -> dict:
