@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("tokens", "decontaminate", "media")
+MODULES = ("tokens", "decontaminate", "licenses", "media")
 
 
 def _merged(attribute: str) -> dict:
