@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("tokens", "decontaminate", "licenses", "media", "toxicity")
+MODULES = ("tokens", "decontaminate", "licenses", "media", "toxicity", "similarity")
 
 
 def _merged(attribute: str) -> dict:
