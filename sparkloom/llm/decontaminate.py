@@ -231,8 +231,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, drop_s
                     continue
                 keep.append(i)
                 if hits:
-                    texts[i] = remove_spans(text, hits)
                     changed.append(i)
+                while hits:
+                    texts[i] = remove_spans(texts[i], hits)
+                    hits = shared.value.scan(words_of(texts[i]))[0] if shared is not None else []  # what the cut has brought together
             columns = [batch.column(k) for k in range(len(schema.names))]
             columns[at] = pa.array(texts, columns[at].type)
             if "n_chars" in schema.names and changed:

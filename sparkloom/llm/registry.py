@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("tokens", "decontaminate", "licenses", "secrets", "media", "toxicity", "similarity")
+MODULES = ("tokens", "mixing", "decontaminate", "licenses", "secrets", "media", "toxicity", "similarity")
 
 
 def _merged(attribute: str) -> dict:
