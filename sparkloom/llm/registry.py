@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("tokens", "mixing", "html", "decontaminate", "licenses", "secrets", "media", "toxicity", "similarity")
+MODULES = ("tokens", "mixing", "html", "decontaminate", "repeats", "licenses", "secrets", "media", "toxicity", "similarity")
 
 
 def _merged(attribute: str) -> dict:
