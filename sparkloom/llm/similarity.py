@@ -9,10 +9,13 @@ that of equal 64-bit hashes of different shingles. No list is cut short or skipp
 Pairs of a list are not emitted. The relations between sets decide most of them:
 
 1. each set is compared with one leader, the set most of its lists begin with;
-2. blocks of lists whose sets already are of one component are skipped; where a list holds
-   several, one set of each component is compared with the list's first;
-3. what remains are lists with sets that truly differ: the sets outside the list's first
-   component are compared with all others of the list, each pair once.
+2. lists whose sets already are of one component are skipped whole; in the others each set of
+   another component than the list's first is compared with that;
+3. sets of lists that still hold several components are indexed by shingle, in the order of
+   rising frequency among them, and only to the position up to which a link must show. Shingles
+   that one set alone has need no list, so that the own changes of a copy use up its prefix;
+   what two sets can still share after a position skips the rest of a list's block, and so does
+   the parity of their shingles by bucket, which says how many shingles only one has at least.
 
 A comparison is exact. All sets compared with one leader are read next to each other, in
 order of size, and the overlap of one is derived from that of the one before, by the shingles
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SLICE_ROWS, Spool, keyed_text, map_slices, mix64, table
@@ -37,6 +40,7 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
 BANDS, ROWS = 51, 3
 BLOCK = 1000
+PARITY = 8
 BROADCAST_ROWS = 500_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -47,7 +51,7 @@ class WordHashes(dict):
     """64-bit hashes of words; a table of bounded size."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -178,9 +182,9 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spool = Spool(docs.sparkSession)
     profiles = spool.save(profile(docs, id_col, text_col), "profiles")
     sets = profiles.where("set_id is not null")
-    listed = spool.save(sets.groupBy("set_id").agg(F.any_value("keys").alias("keys"), F.any_value("n_shingles").alias("n")), "sets")
-    members = listed.select("set_id", "n", F.explode("keys").alias("key"))
-    first = members.groupBy("key").agg(F.min("set_id").alias("first"), F.max("set_id").alias("last")).where("first != last").select("key", "first")
+    # Rows of 24 bytes, streamed through one exchange for both uses; no list is ever held as a whole.
+    members = sets.groupBy("set_id").agg(F.any_value("keys").alias("keys")).select("set_id", F.explode("keys").alias("key")).repartition("key")
+    first = members.groupBy("key").agg(F.min("set_id").alias("first"), F.count("*").alias("size")).where("size > 1")
     lists = spool.save(members.join(first, "key"), "lists")  # only keys that several sets share
 
     texts = spool.save(_texts(docs, profiles, lists.select("set_id").distinct(), id_col, text_col), "texts")
@@ -190,22 +194,15 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = spool.save(compare(done, texts), "links1")
     found = components(links)
 
-    mixed = _mixed(lists, found)
-    heads = mixed.groupBy("key", "c").agg(F.min("set_id").alias("a"))
-    firsts = heads.groupBy("key").agg(F.min("a").alias("b"))
-    pairs = heads.join(firsts, "key").where("a != b").select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
+    pairs = _mixed(lists, found).where("set_id != first").select(F.col("set_id").alias("a"), F.col("first").alias("b"), "c").distinct()
+    of_first = found.select(F.col("v").alias("b"), F.col("c").alias("cb"))
+    pairs = pairs.join(of_first, "b", "left").where("c != coalesce(cb, b)").select("a", "b").join(done, ["a", "b"], "left_anti")
     pairs = spool.save(pairs, "pairs2")
     links = spool.save(links.unionByName(compare(pairs, texts)), "links2")
     found = components(links)
-    done = done.unionByName(pairs)
-
-    mixed = spool.save(_mixed(lists, found), "mixed")
-    main = mixed.groupBy("key", "c").agg(F.count("*").alias("held")).groupBy("key").agg(F.max_by("c", F.struct("held", -F.col("c"))).alias("main"))
-    minor = mixed.join(main, "key").where("c != main").select("key", F.col("set_id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"))
-    close = f"least(n, nx) * {DENOMINATOR} >= greatest(n, nx) * {NUMERATOR}"
-    pairs = minor.join(mixed.withColumnRenamed("set_id", "y"), "key").where(f"c != cx and {close}")
-    pairs = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    pairs = spool.save(pairs.join(done.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs3")
+
+    wanted = spool.save(_mixed(lists.where("size > 2"), found).select("set_id", "c").distinct(), "mixed")
+    pairs = spool.save(_prefix_pairs(texts, wanted).join(done.unionByName(pairs).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs3")
     found = components(links.unionByName(compare(pairs, texts)))
 
     smallest = sets.groupBy("set_id").agg(F.min("id").alias("own"))
@@ -215,7 +212,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = F.when(F.col("set_id").isNull(), F.col("id")).otherwise(F.col("component_id"))
     out = profiles.select("id", "n_shingles", "set_id").join(by_set, "set_id", "left").select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"))
     out = spool.save(out, "result")
-    for name in ("profiles", "sets", "lists", "texts", "pairs1", "links1", "pairs2", "links2", "mixed", "pairs3"):
+    for name in ("profiles", "lists", "texts", "pairs1", "links1", "pairs2", "links2", "mixed", "pairs3"):
         spool.drop(name)
     return out
 
@@ -231,12 +228,62 @@ def _texts(docs: DataFrame, profiles: DataFrame, wanted: DataFrame, id_col: str,
 
 
 def _mixed(lists: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows of lists that still hold several components: (key, set_id, n, c)."""
-    named = lists.join(found.withColumnRenamed("v", "set_id"), "set_id", "left").select("key", "set_id", "n", F.coalesce("c", "set_id").alias("c"))
+    """Rows of lists that still hold several components: (key, set_id, first, c)."""
+    named = lists.join(found.withColumnRenamed("v", "set_id"), "set_id", "left").select("key", "set_id", "first", F.coalesce("c", "set_id").alias("c"))
     several = named.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least != most").select("key")
     return named.join(several, "key", "left_semi")
 
 
+def _prefix_pairs(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``wanted`` sets (set_id, c) of different components that may link, by their prefixes."""
+
+    def kernel():
+        hashes = WordHashes()
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [shingles(t, hashes).view(np.int64) for t in batch.column(2).to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["set_id", "c", "tokens"])
+
+        return step
+
+    def parities():
+        hashes = WordHashes()
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out = np.zeros((batch.num_rows, PARITY), np.uint64)
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                s = shingles(text, hashes)
+                counts = np.bincount((s >> np.uint64(7)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+                out[i] = np.packbits(counts.astype(np.uint8)).view(np.uint64)
+            return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[:, k].view(np.int64)) for k in range(PARITY))], names=["set_id", *(f"bit{k}" for k in range(PARITY))])
+
+        return step
+
+    chosen = texts.join(wanted, "set_id").select("set_id", "c", "text")
+    tokens = map_slices(chosen, kernel, "set_id long, c long, tokens array<long>").select("set_id", F.size("tokens").alias("n"), "c", F.explode("tokens").alias("token"))
+    tokens = tokens.repartition("token")
+    # A token within one component only pairs nothing, but still counts as a position.
+    counts = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("c").alias("least"), F.max("c").alias("most")).where("df > 1")
+    shared = tokens.join(counts, "token").select("set_id", "n", "c", "token", "df", (F.col("least") != F.col("most")).alias("mixed"))
+    in_order = Window.partitionBy("set_id").orderBy("df", "token")
+    own = F.col("n") - F.count("*").over(Window.partitionBy("set_id"))
+    placed = shared.withColumn("place", own + F.row_number().over(in_order) - 1)  # 0 is the rarest
+    prefix = placed.where(f"mixed and place <= n - ceil(n * {NUMERATOR} / {DENOMINATOR})").select("token", "set_id", "n", "c", "place")
+    bits = [f"bit{i}" for i in range(PARITY)]
+    prefix = prefix.join(map_slices(chosen, parities, "set_id long, " + ", ".join(f"{b} long" for b in bits)), "set_id").select("token", "set_id", "n", "c", "place", *bits)
+    x, y = prefix.toDF("token", "a", "na", "ca", "pa", *(f"x{b}" for b in bits)), prefix.toDF("token", "b", "nb", "cb", "pb", *(f"y{b}" for b in bits))
+    close = f"least(na, nb) * {DENOMINATOR} >= greatest(na, nb) * {NUMERATOR}"
+    # Without an earlier shared token, what is left after the places bounds the overlap.
+    enough = f"least(na - pa, nb - pb) * {NUMERATOR + DENOMINATOR} >= (na + nb) * {NUMERATOR}"
+    main = prefix.groupBy("token", "c").agg(F.count("*").alias("held")).groupBy("token").agg(F.max_by("c", F.struct("held", -F.col("c"))).alias("main"))
+    minor = x.join(main, "token").where("ca != main")
+    # Shingles that one of two sets has alone: at least the bits in which their parities differ.
+    apart = " + ".join(f"bit_count(x{b} ^ y{b})" for b in bits)
+    few = f"({apart}) * {NUMERATOR + DENOMINATOR} <= (na + nb) * {DENOMINATOR - NUMERATOR}"
+    pairs = minor.join(y, "token").where(f"ca != cb and (cb = main or a > b) and {close} and {enough} and {few}")
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: the one whose doc_id names it. All columns stay.
 
