@@ -32,7 +32,7 @@ from .common import Spool, keyed_text, map_slices, mix64, table
 LENGTH = 400
 GRAM = 100
 SPAN = 2 * LENGTH - GRAM
-MAX_COLLECTION = 5000
+MAX_COLLECTION = 20_000
 ROUND_SEGMENTS = 8192
 BROADCAST_ROWS = 300_000
 END = 256
@@ -233,8 +233,21 @@ def _counted(segments: DataFrame) -> DataFrame:
 
     strings = map_slices(segments, kernel, "anchor long, segment long, several boolean, place long, string long")
     seen = strings.groupBy("anchor", "place", "string").agg(F.count("*").alias("held"), F.max("several").alias("any")).where("held > 1 or any").select("anchor", "place", "string")
-    hits = strings.join(seen, ["anchor", "place", "string"], "left_semi")
-    return hits.groupBy("anchor", "segment").agg(F.array_sort(F.collect_list(F.struct(F.col("place").alias("first"), F.col("place").alias("last")))).alias("starts"))
+    hits = strings.join(seen, ["anchor", "place", "string"], "left_semi").groupBy("anchor", "segment").agg(F.collect_list("place").alias("places"))
+
+    def ranges():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            starts = []
+            for places in batch.column(2).to_pylist():
+                flags = np.zeros(SPAN, bool)
+                flags[places] = True
+                starts.append(_ranges(flags))
+            kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(starts, kind)], names=["anchor", "segment", "starts"])
+
+        return step
+
+    return map_slices(hits, ranges, "anchor long, segment long, starts array<struct<first:long,last:long>>")
 
 
 def find_repeats(docs: DataFrame, spool: Spool, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
