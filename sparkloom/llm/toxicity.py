@@ -19,6 +19,7 @@ from __future__ import annotations
 import heapq
 import json
 from collections import Counter
+from collections.abc import Collection
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +63,7 @@ def grams(word: bytes) -> list[str]:
     return [w + "$", *(w[:n] for n in STEMS if n < len(w))]
 
 
-def copy_groups(docs: list[set[bytes]], size: int = 16, same: int = 8) -> list[int]:
+def copy_groups(docs: list[Collection[bytes]], size: int = 16, same: int = 8) -> list[int]:
     """A group number for each row; rows that share half of their ``size`` longest words are copies of each other."""
     first: dict[bytes, int] = {}
     groups = []
@@ -77,18 +78,19 @@ def copy_groups(docs: list[set[bytes]], size: int = 16, same: int = 8) -> list[i
     return groups
 
 
-def choose_lexicon(docs: list[set[bytes]], toxic: np.ndarray, most: int = MAX_LEXICON) -> list[str]:
+def choose_lexicon(docs: list[Collection[bytes]], toxic: np.ndarray, most: int = MAX_LEXICON) -> list[str]:
     """Voters by coverage of toxic rows: precise ones, and so often with toxic rows that chance explains none of them.
 
     Of voters with equal rows the most specific is taken, and none under a chosen stem unless it is more precise. Copies of a text count once.
     """
     groups = copy_groups(docs)
     of_word: dict[bytes, list[str]] = {}
-    seen: dict[str, dict[int, None]] = {}
+    seen: dict[str, list[int]] = {}
     for i in range(len(docs)):
         if toxic[i]:
             for g in {g for w in docs[i] for g in of_word.get(w) or of_word.setdefault(w, grams(w))}:
-                seen.setdefault(g, {})[groups[i]] = None
+                seen.setdefault(g, []).append(groups[i])
+    seen = {g: sorted(set(rows)) for g, rows in seen.items() if len(rows) > 1}
     seen = {g: rows for g, rows in seen.items() if len(rows) > 1}
     clean: dict[str, set[int]] = {g: set() for g in seen}
     of_word = {}
@@ -131,13 +133,13 @@ class Voters:
         self.index = {g: i for i, g in enumerate(lexicon)}
         self.known: dict[bytes, tuple[int, ...]] = {}
 
-    def of(self, found: set[bytes]) -> set[int]:
+    def of(self, found: Collection[bytes]) -> set[int]:
         hits: set[int] = set()
         for w in found:
             v = self.known.get(w)
             if v is None:
                 v = tuple(i for g in grams(w) if (i := self.index.get(g)) is not None)
-                if len(self.known) >= 500_000:
+                if len(self.known) >= 200_000:
                     self.known.clear()
                 self.known[w] = v
             if v:
@@ -145,7 +147,7 @@ class Voters:
         return hits
 
 
-def vote_matrix(texts: list[str], found: list[set[bytes]], voters: Voters) -> np.ndarray:
+def vote_matrix(texts: list[str], found: list[Collection[bytes]], voters: Voters) -> np.ndarray:
     votes = np.zeros((len(texts), len(voters.index) + len(PATTERNS)))
     for i, (text, has) in enumerate(zip(texts, found, strict=True)):
         votes[i, sorted(voters.of(has))] = 1
@@ -207,7 +209,8 @@ def train(texts: list[str], toxic: list[int], share: tuple[float, float] = (1.0,
     if not 0 < y.sum() < len(y):
         return {"lexicon": [], "weights": [], "patterns": [0.0] * len(PATTERNS), "intercept": -30.0}
     scale = np.where(y == 1, share[1], share[0])
-    found = [words(t) for t in texts]
+    known: dict[bytes, bytes] = {}
+    found = [tuple(known.setdefault(w, w) for w in words(t)) for t in texts]
     lexicon = choose_lexicon(found, y)
     votes = vote_matrix(texts, found, Voters(lexicon))
     q, stats = label_model(votes, y, scale)
