@@ -2,17 +2,20 @@
 
 Pages of one host come from a template. A page's tokens are its tags, each in the role given
 by its path with classes and ids, and its text blocks, each in the role given by its path and
-words. The occurrence vector of a token says how often it stands in each page of its host;
-tokens with equal vectors form an equivalence class. A class of enough tokens that occurs in
-enough of the host's pages is valid, and the valid classes, nested by how many pages they
-cover, are the host's template. What the template does not say are its slots: extraction
-drops template text, zones that a page template has for other things than the article (menus,
+words. Pages of one host whose body and article stand in the same roles are of one layout. The
+occurrence vector of a token says how often it stands in each page of its layout; tokens with
+equal vectors form an equivalence class. A class of enough tokens that occurs in enough of the
+layout's pages is valid, and the valid classes, nested by how many pages they cover, are the
+layout's template. What the template does not say are its slots: extraction drops template
+text wherever it stands, zones that the template has for other things than the article (menus,
 headers, footers, sidebars, notices, adverts, forms, reader comments), scripts, styles and
-markup, and returns the blocks in the slots that remain.
+markup, and returns the blocks in the slots that remain, those of the article where a page
+marks one. A class, id or role that merely sounds like a zone drops nothing unless its element
+is part of the template; where a layout has no template, it is all there is to go by.
 
 Vectors are never built: a token's vector is represented by the sum over its pages of a hash
-of page and count, which partial aggregation forms before the shuffle, so a host may have any
-number of pages. A template is bounded: its tokens occur in half of the host's pages.
+of page and count, which partial aggregation forms before the shuffle, so a layout may have any
+number of pages. A template is bounded: its tokens occur in half of the layout's pages.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from .common import Spool, map_slices, table
 
 MIN_PAGES, MIN_TOKENS, MIN_SHARE = 3, 2, 0.5
 BROADCAST_ROLES = 1_000_000
+#: The token that every page has once, so that a layout's pages are counted with its tokens.
+PAGE = 0
 
 _ATTRIBUTES = r"""(?:"[^"]*"|'[^']*'|[^'">])*"""
 _TOKEN = re.compile(
@@ -57,21 +62,26 @@ def attributes(tag: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(tag)}
 
 
-def is_zone(name: str, given: dict[str, str], in_article: bool) -> bool:
-    """Whether an element is for something else than the article."""
+def is_zone(name: str, given: dict[str, str], in_article: bool) -> int:
+    """Whether an element is for something else than the article: 2 if surely, 1 if the template has to say so, or 0."""
     if name in ZONES or (name == "header" and not in_article):
-        return True
+        return 1 if in_article else 2
     if name in ("body", "html", "article", "main"):
-        return False
+        return 0
     words = {w for k in ("class", "id", "role") for w in _PARTS.findall(given.get(k, "").lower())}
-    return bool(words & (ZONE_WORDS - {"header"} if in_article else ZONE_WORDS))
+    return int(bool(words & (ZONE_WORDS - {"header"} if in_article else ZONE_WORDS)))
 
 
-def parse(page: str) -> tuple[list[tuple[str, bool, bool, str]], list[str]]:
-    """Text blocks (path, in a zone, in the article, text) and the roles of the tags, in page order."""
-    blocks: list[tuple[str, bool, bool, str]] = []
+def parse(page: str) -> tuple[list[tuple[str, tuple[str, ...], bool, str]], list[str], str]:
+    """Text blocks (path, paths of the zones around it, in the article, text), the roles of the tags, in page order, and the layout.
+
+    The empty path stands for a zone whatever the template says. The layout is the roles of the
+    body and of the first article or main element.
+    """
+    blocks: list[tuple[str, tuple[str, ...], bool, str]] = []
     roles: list[str] = []
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    marks: dict[str, str] = {}
+    stack: list[tuple[str, str, tuple[str, ...], bool]] = [("", "", (), False)]
     text: list[str] = []
 
     def close_block() -> None:
@@ -122,36 +132,44 @@ def parse(page: str) -> tuple[list[tuple[str, bool, bool, str]], list[str]]:
         kind = "".join(f"{k[0]}:{given[k]}" for k in ("class", "id", "role") if given.get(k))
         path = f"{path}/{name}{kind}" if len(stack) < 60 else path
         roles.append(path)
+        if name in ("body", "article", "main"):
+            marks.setdefault("body" if name == "body" else "article", path)
         if name not in VOID and not tag.endswith("/>"):
-            stack.append((name, path, zone or is_zone(name, given, article), article))
+            sure = is_zone(name, given, article)
+            stack.append((name, path, (*zone, path if sure == 1 else "") if sure else zone, article))
     text.append(page[last:])
     close_block()
-    return blocks, roles
+    return blocks, roles, f"{marks.get('body', '')}\x00{marks.get('article', '')}"
 
 
 def _role(path: str, text: str = "") -> int:
     return xxhash.xxh3_64_intdigest(f"{path}\x00{text}") - (1 << 63)
 
 
-def page_tokens(page: str) -> dict[int, int]:
-    """How often each token role occurs in a page."""
-    blocks, roles = parse(page)
+def page_tokens(page: str) -> tuple[dict[int, int], int]:
+    """How often each token role occurs in a page, and the page's layout."""
+    blocks, roles, layout = parse(page)
     counts: dict[int, int] = {}
     for r in [_role(p) for p in roles] + [_role(p, t) for p, _, _, t in blocks]:
         counts[r] = counts.get(r, 0) + 1
-    return counts
+    return counts, _role(layout)
 
 
-def extract(page: str, template: set[int]) -> str:
+def extract(page: str, template: set[int] | dict[int, list[int]]) -> str:
     """Blocks of a page that stand in the template's slots for the article, joined by empty lines.
 
-    Where a page has an article or main element, its slots are those inside; template text is
-    only looked for outside such an element, since what stands inside is the article's own.
+    ``template``: that of the page's layout, or those of its host by layout. Where a page has an
+    article or main element, its slots are those inside. An article of nothing but template text
+    is one of a group of copies, and stays.
     """
-    blocks, _ = parse(page)
-    kept = [(article, text) for path, zone, article, text in blocks if not zone and (article or _role(path, text) not in template)]
-    marked = any(article for article, _ in kept)
-    return "\n\n".join(text for article, text in kept if article or not marked)
+    blocks, _, layout = parse(page)
+    if isinstance(template, dict):
+        template = set(template.get(_role(layout), ()))
+    open_ = [(article, text, _role(path, text) in template) for path, zones, article, text in blocks if not any(not z or not template or _role(z) in template for z in zones)]
+    marked = any(article for article, _, _ in open_)
+    slots = [(text, known) for article, text, known in open_ if article or not marked]
+    copied = marked and all(known for _, known in slots)
+    return "\n\n".join(text for text, known in slots if copied or not known)
 
 
 def _hosted(pages: DataFrame) -> DataFrame:
@@ -160,28 +178,33 @@ def _hosted(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, role, level): the roles of each host's valid equivalence classes; level 0 is the outermost class."""
+    """(host, layout, role, level): the roles of each layout's valid equivalence classes; level 0 is the outermost class."""
 
     def kernel():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            hosts, roles, marks = [], [], []
+            hosts, layouts, roles, marks = [], [], [], []
             for host, page in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 key = xxhash.xxh3_64_intdigest(page.encode("utf-8", "surrogatepass"))
-                for role, n in page_tokens(page).items():
+                counts, layout = page_tokens(page)
+                for role, n in (counts | {PAGE: 1}).items():
                     hosts.append(host)
+                    layouts.append(layout)
                     roles.append(role)
                     marks.append((key * (2 * n + 1) ^ n * 0x9E3779B97F4A7C15) & (1 << 62) - 1)
-            return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(roles, pa.int64()), pa.array(np.array(marks, np.int64), pa.int64())], names=["host", "role", "mark"])
+            arrays = [pa.array(hosts, pa.string()), pa.array(layouts, pa.int64()), pa.array(roles, pa.int64()), pa.array(np.array(marks, np.int64), pa.int64())]
+            return pa.RecordBatch.from_arrays(arrays, names=["host", "layout", "role", "mark"])
 
         return step
 
-    tokens = map_slices(pages, kernel, "host string, role long, mark long")
-    vectors = tokens.groupBy("host", "role").agg(F.count("*").alias("support"), F.sum(F.pmod("mark", F.lit(1 << 40))).alias("vector"))
-    sizes = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    classes = vectors.groupBy("host", "support", "vector").agg(F.count("*").alias("tokens"))
-    valid = classes.join(sizes, "host").where((F.col("support") >= F.greatest(F.lit(MIN_PAGES), F.col("pages") * MIN_SHARE)) & (F.col("tokens") >= MIN_TOKENS))
-    nested = valid.select("host", "support", "vector", (F.dense_rank().over(Window.partitionBy("host").orderBy(F.desc("support"))) - 1).alias("level"))
-    return vectors.join(nested, ["host", "support", "vector"]).select("host", "role", "level")
+    tokens = map_slices(pages, kernel, "host string, layout long, role long, mark long")
+    of = ["host", "layout"]
+    vectors = tokens.groupBy(*of, "role").agg(F.count("*").alias("support"), F.sum(F.pmod("mark", F.lit(1 << 40))).alias("vector"))
+    sizes = vectors.where(F.col("role") == PAGE).select(*of, F.col("support").alias("pages"))
+    vectors = vectors.where(F.col("role") != PAGE)
+    classes = vectors.groupBy(*of, "support", "vector").agg(F.count("*").alias("tokens"))
+    valid = classes.join(sizes, of).where((F.col("support") >= F.greatest(F.lit(MIN_PAGES), F.col("pages") * MIN_SHARE)) & (F.col("tokens") >= MIN_TOKENS))
+    nested = valid.select(*of, "support", "vector", (F.dense_rank().over(Window.partitionBy(*of).orderBy(F.desc("support"))) - 1).alias("level"))
+    return vectors.join(nested, [*of, "support", "vector"]).select(*of, "role", "level")
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -194,12 +217,13 @@ def extract_text(pages: DataFrame) -> DataFrame:
     hosted = _hosted(pages)
     found = Spool(pages.sparkSession).save(templates(hosted), "templates")
     small = found.count() <= BROADCAST_ROLES
-    by_host = found.groupBy("host").agg(F.sort_array(F.collect_list("role")).alias("template"))
+    by_layout = found.groupBy("host", "layout").agg(F.sort_array(F.collect_list("role")).alias("roles"))
+    by_host = by_layout.groupBy("host").agg(F.collect_list(F.struct("layout", "roles")).alias("template"))
     joined = hosted.join(F.broadcast(by_host) if small else by_host, "host", "left").select("page_id", "url", "html", "template")
 
     def kernel():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [extract(page, set(roles or ())) for page, roles in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = [extract(page, {x["layout"]: x["roles"] for x in given or ()}) for page, given in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
         return step

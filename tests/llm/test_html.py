@@ -58,3 +58,19 @@ def test_small_cases(spark):
     by = dict(got)
     assert by["1"] == "" == by["2"] and by["None"] == "x" and by["4"] == "plain < text & more" and by["5"] == ("y " * 50_000).strip() and by["6"] == "ok\n\nz"
     assert h.extract_text(df.limit(0)).count() == 0
+
+
+def test_the_template_decides_inside_articles_and_for_each_layout(spark):
+    page = '<html><body class="{kind}"><nav>menu</nav><{box}><h1>Title {n}</h1><p>Text {n}</p>{more}<div class="x">Read our other {kind} pages</div><div class="share">Like {n}</div></{box}><p>All rights reserved</p></body></html>'
+    rows = [(n, f"http://a/{n}", page.format(kind="post", box="article", n=n, more="")) for n in range(7)]
+    rows += [(n, f"http://a/{n}", page.format(kind="event", box="div", n=n, more="")) for n in range(7, 10)]
+    more = '<h2 id="social-history">Social history</h2><section id="related-work"><p>Earlier work</p></section>'
+    rows += [(10, "http://a/10", page.format(kind="post", box="article", n=10, more=more))]
+    rows += [(11, "http://b/11", page.format(kind="post", box="article", n=11, more=""))]
+    rows += [(n, "http://c/", page.format(kind="post", box="article", n=12, more="")) for n in range(12, 15)]
+    got = {r["page_id"]: r["text"] for r in h.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for n in range(10):
+        assert got[n] == f"Title {n}\n\nText {n}"
+    assert got[10] == "Title 10\n\nText 10\n\nSocial history\n\nEarlier work"
+    assert got[11] == "Title 11\n\nText 11\n\nRead our other post pages"
+    assert got[12].startswith("Title 12\n\nText 12")
