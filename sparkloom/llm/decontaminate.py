@@ -6,7 +6,8 @@ word window by word window; a window whose hash is in the set is verified word b
 
 The set's size is measured before it is broadcast. Beyond ``max_windows`` the windows are
 dealt by hash into as many parts as needed and each part is broadcast in a pass of its own,
-so that what one task holds is bounded however many benchmark items there are.
+so that what one task holds is bounded however many benchmark items there are. Cuts are repeated
+until no window is left, in either case.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _WORD_TABLE, keyed_text, map_slices, table, words_of
+from .common import _WORD_TABLE, Spool, keyed_text, map_slices, table, words_of
 
 WINDOW = 10
 MAX_WINDOWS = 2_000_000
@@ -111,8 +112,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_windows: in
     """
     windows, parts = _parts(benchmark, n, max_windows)
     if parts == 1:
-        return _pass(docs, windows)
-    return _passes(docs, windows, parts).select("doc_id", "n_words", "spans", "items", F.explode(F.expr("array_repeat(0, int(copies))")).alias("copy")).drop("copy")
+        return _pass(docs, _shared(windows))
+    return _passes(docs, _shares(windows, parts)).select("doc_id", "n_words", "spans", "items", F.explode(F.expr("array_repeat(0, int(copies))")).alias("copy")).drop("copy")
 
 
 def _parts(benchmark: DataFrame, n: int, max_windows: int) -> tuple[DataFrame, int]:
@@ -124,18 +125,22 @@ def _row_key() -> Column:
     return F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), 256)
 
 
-def _passes(docs: DataFrame, windows: DataFrame, parts: int) -> DataFrame:
-    """One pass for each part of the windows; a row for each distinct (doc_id, text), by its key."""
+def _shares(windows: DataFrame, parts: int) -> list[Broadcast]:
     part_of = F.pmod(F.xxhash64(F.col("words")), F.lit(parts))
+    return [_shared(windows.where(part_of == part)) for part in range(parts)]
+
+
+def _passes(docs: DataFrame, shares: list[Broadcast]) -> DataFrame:
+    """One pass for each part of the windows; a row for each distinct (doc_id, text), by its key."""
     return (
-        reduce(DataFrame.unionByName, [_pass(docs, windows.where(part_of == part), "row_key") for part in range(parts)])
+        reduce(DataFrame.unionByName, [_pass(docs, shared, "row_key") for shared in shares])
         .groupBy("row_key")
         .agg(
             F.first("doc_id").alias("doc_id"),
             F.first("n_words").alias("n_words"),
             _merge_spans("flatten(collect_list(spans))").alias("spans"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            (F.count("*") / parts).cast("long").alias("copies"),
+            (F.count("*") / len(shares)).cast("long").alias("copies"),
         )
     )
 
@@ -159,9 +164,7 @@ def _shared(windows: DataFrame) -> Broadcast:
     return windows.sparkSession.sparkContext.broadcast(WindowSet(found))
 
 
-def _pass(docs: DataFrame, windows: DataFrame, key: str | None = None) -> DataFrame:
-    shared = _shared(windows)
-
+def _pass(docs: DataFrame, shared: Broadcast, key: str | None = None) -> DataFrame:
     def kernel():
         windows_here = shared.value
 
@@ -199,6 +202,43 @@ def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*kept, raw[last:]]).decode("utf-8", "surrogatepass")
 
 
+def _cut_in_passes(docs: DataFrame, shares: list[Broadcast], drop_share: float | None) -> DataFrame:
+    """(sparkloom_key, sparkloom_text, sparkloom_drop) for each distinct (doc_id, text) with hits, cut until none is left.
+
+    Every round goes over the documents that the round before has cut, so the rounds end: each takes words away.
+    """
+
+    def kernel():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts, drop = [], []
+            for text, given in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                hits = [(s["first"], s["end"]) for s in given]
+                drop.append(drop_share is not None and sum(b - a for a, b in hits) >= drop_share * len(words_of(text)))
+                texts.append(remove_spans(text, hits))
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(drop, pa.bool_())], names=["sparkloom_key", "doc_id", "text", "sparkloom_drop"])
+
+        return step
+
+    spool, done, at = Spool(docs.sparkSession), None, 0
+    pending = docs.select(_row_key().alias("sparkloom_key"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(False).alias("sparkloom_drop"))
+    while True:
+        found = spool.save(_passes(pending, shares).where(F.size("spans") > 0).select("row_key", "spans"), f"hits-{at}")
+        known = pending.withColumn("row_key", _row_key())
+        if at:
+            clean = known.join(found, "row_key", "left_anti").select(*pending.columns)
+            done = clean if done is None else done.unionByName(clean)
+        if found.isEmpty():
+            break
+        hit = known.dropDuplicates(["sparkloom_key"]).join(found, "row_key").select("sparkloom_key", "doc_id", "text", "spans")
+        pending = spool.save(map_slices(hit, kernel, "sparkloom_key string, doc_id long, text string, sparkloom_drop boolean"), f"cut-{at}")
+        if at == 0 and drop_share is not None:
+            done, pending = pending.where("sparkloom_drop"), pending.where("not sparkloom_drop")
+        drop_share, at = None, at + 1
+    if done is None:
+        done = pending.limit(0)
+    return done.select("sparkloom_key", F.col("text").alias("sparkloom_text"), "sparkloom_drop")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, drop_share: float | None = None, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """``docs`` with the hit spans cut from their texts; documents hit nowhere stay as they are.
 
@@ -207,26 +247,33 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, drop_s
     table has n_chars, it is counted again where text was cut. Null texts stay null.
     """
     windows, parts = _parts(benchmark, n, max_windows)
-    spans = "sparkloom_spans"
     source, shared = docs, None
     if parts == 1:
         shared = _shared(windows)
     else:
-        found = _passes(docs, windows, parts).where(F.size("spans") > 0).select(F.col("row_key").alias("sparkloom_key"), F.col("spans").alias(spans))
-        source = docs.withColumn("sparkloom_key", _row_key()).join(found, "sparkloom_key", "left").select(*docs.columns, spans)
+        cuts = _cut_in_passes(docs, _shares(windows, parts), drop_share)
+        source = docs.withColumn("sparkloom_key", _row_key()).join(cuts, "sparkloom_key", "left").select(*docs.columns, "sparkloom_text", "sparkloom_drop")
     schema = docs.schema
 
     def kernel():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             at = batch.schema.names.index("text")
             texts, keep = batch.column(at).to_pylist(), []
-            given = batch.column(batch.schema.names.index(spans)).to_pylist() if shared is None else None
+            given = None
+            if shared is None:
+                given = list(zip(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in ("sparkloom_text", "sparkloom_drop")), strict=True))
             changed = []
             for i, text in enumerate(texts):
                 if given is not None:
-                    hits = [(s["first"], s["end"]) for s in given[i] or []]
-                else:
-                    hits = shared.value.scan(words_of(text))[0] if text else []
+                    cut, drop = given[i]
+                    if drop:
+                        continue
+                    keep.append(i)
+                    if cut is not None:
+                        changed.append(i)
+                        texts[i] = cut
+                    continue
+                hits = shared.value.scan(words_of(text))[0] if text else []
                 if hits and drop_share is not None and sum(b - a for a, b in hits) >= drop_share * len(words_of(text)):
                     continue
                 keep.append(i)
@@ -234,7 +281,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, drop_s
                     changed.append(i)
                 while hits:
                     texts[i] = remove_spans(texts[i], hits)
-                    hits = shared.value.scan(words_of(texts[i]))[0] if shared is not None else []  # what the cut has brought together
+                    hits = shared.value.scan(words_of(texts[i]))[0]  # what the cut has brought together
             columns = [batch.column(k) for k in range(len(schema.names))]
             columns[at] = pa.array(texts, columns[at].type)
             if "n_chars" in schema.names and changed:

@@ -73,3 +73,18 @@ def test_spans_are_cut_from_texts_and_clean_rows_stay(spark):
     assert [g[1] for g in got if g[0] is None] == [""]
     assert sorted(map(str, got)) == sorted(str(tuple(r)) for r in d.decontaminate(docs, items, max_windows=1).collect())
     assert len(d.decontaminate(docs, items, drop_share=1.0).collect()) == len(DOCS) - 2
+
+
+def test_what_a_cut_brings_together_is_cut_however_large_the_benchmark(spark):
+    one, two, three = ("".join(f"{w}{k} " for k in range(10)) for w in "abc")
+    nested = f"start {one[:15]}{two[:15]}{three}{two[15:]}{one[15:]}end"
+    rows = [(1, nested, 9), (1, nested, 9), (2, "clean", 5), (None, nested, 9), (3, None, 0), (4, three + "rest", 9), (5, f"{three[:15]}{one}{three[15:]}", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
+    items = spark.createDataFrame([(10, one), (11, two), (12, three)], "item_id int, text string")
+    for share in (None, 0.4):
+        want = sorted(map(str, d.decontaminate(docs, items, drop_share=share).collect()))
+        assert sorted(map(str, d.decontaminate(docs, items, drop_share=share, max_windows=1).collect())) == want
+        assert len(want) == (len(rows) if share is None else len(rows) - 2)
+    got = d.decontaminate(docs, items, max_windows=1)
+    assert not any(r[2] for r in digest(d.scan(got, items)))
+    assert {r["text"] for r in got.collect() if r["doc_id"] in (1, None)} == {"start  end"}
