@@ -5,7 +5,10 @@ k-grams in the license templates. A hit votes for the diagonal ``text position -
 position`` of its template; votes are aggregated as bit masks of template positions before
 the shuffle. Neighbouring diagonals (a word more or less inside the notice) are merged, and
 a span is verified when enough of its template has voted: all of it, on one diagonal, for
-the short phrases, ``MIN_COVERAGE`` of its k-grams for the longer notices.
+the short phrases, ``MIN_COVERAGE`` of its k-grams for the longer notices, and of those all that
+tell a notice from its near-identical neighbours (see ``needed``): a gram that has voted says that
+two words of the template stand side by side in the text, so a version, a clause or a word
+between them that makes it another license is seen where its gram is missing.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ NOTICES = (
     ("licensed under the apache license version 2 0", "apache-2.0"),
     ("licensed under the gnu general public license version 3", "gpl-3.0"),
     ("licensed under the gnu general public license version 2", "gpl-2.0"),
+    ("gnu general public license version 3", "gpl-3.0"),
+    ("gnu general public license version 2", "gpl-2.0"),
     ("gnu lesser general public license", "lgpl"),
     ("gnu affero general public license", "agpl"),
     ("licensed under cc by 4 0", "cc-by-4.0"),
@@ -47,6 +52,10 @@ NOTICES = (
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
 )
 
+#: Words that make a notice another one, beside numbers, and the word that such words follow.
+CLAUSES = frozenset(("sa", "nc"))
+FOLLOWED = frozenset(("gnu",))
+
 #: The template that every document hits once, so that documents without hits keep their row.
 PRESENT = "\x01"
 
@@ -55,17 +64,23 @@ def _gram(a: Column, b: Column) -> Column:
     return F.xxhash64(a, b)
 
 
+def needed(words: str) -> int:
+    """Bit mask of the places of a notice whose grams have to vote: those with a number or a clause, and those after which another license is named."""
+    given = words.split()
+    return sum(1 << i for i, (a, b) in enumerate(zip(given, given[1:])) if a in FOLLOWED or any(w.isdigit() or w in CLAUSES for w in (a, b)))
+
+
 def templates(spark: SparkSession, phrases=PHRASES, notices=NOTICES) -> DataFrame:
-    """(gram, template, place, label, base, full): one row for each k-gram position; as large as its parameters."""
+    """(gram, template, place, label, base, full, need): one row for each k-gram position; as large as its parameters."""
     rows = [(t, label, base) for given, base in ((phrases, True), (notices, False)) for t, label in given]
     short = [t for t, _, _ in rows if not 1 < len(t.split()) <= 62]
     if short:
         raise ValueError(f"templates need 2 to 62 words: {short}")
-    listed = F.array(*(F.struct(F.lit(i).alias("template"), F.lit(t).alias("words"), F.lit(label).alias("label"), F.lit(b).alias("base")) for i, (t, label, b) in enumerate(rows)))
+    listed = F.array(*(F.struct(F.lit(i).alias("template"), F.lit(t).alias("words"), F.lit(label).alias("label"), F.lit(b).alias("base"), F.lit(0 if b else needed(t)).cast("long").alias("need")) for i, (t, label, b) in enumerate(rows)))
     words = spark.range(1).select(F.inline(listed)).withColumn("words", F.split("words", " "))
     grams = F.transform(F.expr(f"slice(words, 1, size(words) - {K - 1})"), lambda w, i: _gram(w, F.get("words", i + 1)))
-    hits = words.select("template", "label", "base", (F.size("words") - (K - 1)).alias("full"), F.posexplode(grams).alias("place", "gram"))
-    present = spark.range(1).select(F.lit(-1).alias("template"), F.lit("").alias("label"), F.lit(False).alias("base"), F.lit(0).alias("full"), F.lit(0).alias("place"), _gram(F.lit(PRESENT), F.lit(PRESENT)).alias("gram"))
+    hits = words.select("template", "label", "base", (F.size("words") - (K - 1)).alias("full"), "need", F.posexplode(grams).alias("place", "gram"))
+    present = spark.range(1).select(F.lit(-1).alias("template"), F.lit("").alias("label"), F.lit(False).alias("base"), F.lit(0).alias("full"), F.lit(0).cast("long").alias("need"), F.lit(0).alias("place"), _gram(F.lit(PRESENT), F.lit(PRESENT)).alias("gram"))
     return hits.unionByName(present)
 
 
@@ -88,7 +103,7 @@ def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, id_col: str = "doc_i
     votes = (
         found.withColumn("diagonal", diagonal)
         .groupBy(*key, "template", "diagonal")
-        .agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask"), F.first("label").alias("label"), F.first("base").alias("base"), F.first("full").alias("full"), F.count("*").alias("hits"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask"), F.first("label").alias("label"), F.first("base").alias("base"), F.first("full").alias("full"), F.first("need").alias("need"), F.count("*").alias("hits"))
     )
     by_template = Window.partitionBy(*key, "template").orderBy("diagonal")
     near = F.col("diagonal") - F.lag("diagonal").over(by_template) <= F.lit(NEIGHBOUR)
@@ -96,9 +111,9 @@ def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, id_col: str = "doc_i
     coverage = F.bit_count("mask") / F.col("full")
     spans = (
         grouped.groupBy(*key, "template", "band")
-        .agg(F.bit_or("mask").alias("mask"), F.min("diagonal").alias("first"), F.first("label").alias("label"), F.first("base").alias("base"), F.first("full").alias("full"), F.sum("hits").alias("hits"))
+        .agg(F.bit_or("mask").alias("mask"), F.min("diagonal").alias("first"), F.first("label").alias("label"), F.first("base").alias("base"), F.first("full").alias("full"), F.first("need").alias("need"), F.sum("hits").alias("hits"))
         .withColumn("coverage", F.when(F.col("full") > 0, coverage).otherwise(F.lit(0.0)))
-        .where((F.col("template") < 0) | F.when(F.col("base"), F.col("coverage") == 1.0).otherwise(F.col("coverage") >= MIN_COVERAGE))
+        .where((F.col("template") < 0) | F.when(F.col("base"), F.col("coverage") == 1.0).otherwise((F.col("coverage") >= MIN_COVERAGE) & (F.col("mask").bitwiseAND(F.col("need")) == F.col("need"))))
     )
     span = F.struct(F.greatest(F.col("first"), F.lit(0)).cast("long").alias("first"), (F.col("full") + K - 1).cast("long").alias("words"), "label", "base", "coverage")
     per_doc = spans.groupBy(*key).agg(

@@ -44,3 +44,31 @@ def test_small_cases(spark, tmp_path):
     assert by[3]["labels"] == "" and by[3]["score"] == 0 and by[7]["score"] == 1
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert licenses.scan(empty).count() == 0
+
+
+def test_near_identical_notices_are_told_apart(spark):
+    cases = {
+        "licensed under the GNU General Public License, version 2": "gpl,gpl-2.0",
+        "licensed under the GNU General Public License, version 3": "gpl,gpl-3.0",
+        "GNU General Public License Version 3": "gpl,gpl-3.0",
+        "GNU General Public License Version 2, June 1991": "gpl,gpl-2.0",
+        "licensed under the GNU General Public License": "gpl",
+        "licensed under the GNU Lesser General Public License version 3": "lgpl",
+        "licensed under the GNU Affero General Public License version 3": "agpl",
+        "licensed under CC BY 4.0": "cc-by,cc-by-4.0",
+        "licensed under CC BY-SA 4.0": "cc-by,cc-by-sa-4.0",
+        "licensed under CC BY-NC 4.0": "cc-by,cc-by-nc-4.0",
+        "licensed under CC BY 3.0": "cc-by",
+        "licensed under CC BY-SA 3.0": "cc-by",
+        "Creative Commons Attribution 4.0 International License": "cc-by-4.0",
+        "Creative Commons Attribution ShareAlike 4.0 International License": "",
+        "licensed under the Apache License, version 2.0": "apache,apache-2.0",
+        "licensed under the Apache License, version 2.1": "apache",
+        "subject to the terms of the Mozilla Public License, v. 2.0. This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0": "mpl-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1": "",
+        "licensed under GNU General Public License version 3": "gpl,gpl-3.0",
+    }
+    texts = list(cases)
+    df = spark.createDataFrame([(i, f"x y {t} z") for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: ",".join(sorted({s["label"] for s in r["spans"]})) for r in licenses.scan(df).collect()}
+    assert {t: got[i] for i, t in enumerate(texts)} == cases
