@@ -1,26 +1,26 @@
 """Exact n-gram Jaccard self-join with set-relation skipping.
 
 Every text becomes the set of its distinct word shingles; equal sets are one set from then
-on. Sets are indexed in lists. A list's key is the position of a band and the minima of its
-random permutations of the shingles; two sets at the threshold share no list with a chance
-under 1e-12 (``BANDS`` bands of ``ROWS`` permutations at 0.75: (1 - 0.75**3)**51), less than
-that of equal 64-bit hashes of different shingles. No list is cut short or skipped unread.
+on. All sets put their shingles into one order, rare ones first (by a count sketch of all
+shingles, then by hash), and are indexed under the first ``n - ceil(0.75 n) + 1`` of them:
+two sets that link share one of those. An index list holds each set's size and the position of
+the shingle in it. Lists of one set say nothing and are dropped; no other list is cut short.
 
 Pairs of a list are not emitted. The relations between sets decide most of them:
 
-1. each set is compared with one leader, the set most of its lists begin with;
-2. lists whose sets already are of one component are skipped whole; in the others each set of
-   another component than the list's first is compared with that;
-3. sets of lists that still hold several components are indexed by shingle, in the order of
-   rising frequency among them, and only to the position up to which a link must show. Shingles
-   that one set alone has need no list, so that the own changes of a copy use up its prefix;
-   what two sets can still share after a position skips the rest of a list's block, and so does
-   the parity of their shingles by bucket, which says how many shingles only one has at least.
-
-A comparison is exact. All sets compared with one leader are read next to each other, in
-order of size, and the overlap of one is derived from that of the one before, by the shingles
-in which the two differ; bounds that already decide end it. Leaders with many sets are split
-into blocks, each with a copy of the leader.
+1. each set is compared with the leaders of its lists, and what links is one component;
+2. lists within one component are skipped. Of the others only the distinct (component, size,
+   position) are kept, in order, and read in blocks: a block pair is skipped where even the
+   largest rest after a position, or the sizes, rule a link out. What is left names pairs of
+   components that may link, not pairs of sets;
+3. of two such components all sets of the smaller are compared with all of the larger, whose
+   sets are an index in memory (in blocks of bounded size). The overlaps of one set with the
+   whole block are its answers, and are derived from those of the set before by the shingles in
+   which the two differ.
+
+Before sets are compared, their parities by bucket are: the bits in which two differ are
+shingles that only one has, and too many rule a link out. A comparison itself is exact, so the
+result rests on nothing but 64-bit hashes standing for shingles and sets.
 """
 
 from __future__ import annotations
@@ -30,17 +30,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, Spool, keyed_text, map_slices, mix64, table
+from .common import SLICE_ROWS, Spool, keyed_text, mix64, table
 from .components import components
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
-BANDS, ROWS = 51, 3
-BLOCK = 1000
-PARITY = 8
+#: The count sketch: buckets of all shingles, in chunks that are summed apart. Its size does not depend on the data.
+SKETCH_BITS, CHUNK_BITS = 20, 14
+#: Buckets of a set's parities, at least and at most.
+PARITY = 512, 1 << 16
+LIST_BLOCK, LIST_ROWS = 64, 4096
+BLOCK_SHINGLES, BLOCK_PROBES = 500_000, 500
+SEEN_SETS = 200_000
 BROADCAST_ROWS = 500_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -70,105 +75,352 @@ def shingles(text: str, hashes: WordHashes, size: int = SHINGLE) -> np.ndarray:
     return np.unique(h)
 
 
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
-    seeds = mix64(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * _ODD)
-    return seeds[: BANDS * ROWS] | np.uint64(1), seeds[BANDS * ROWS :]
+def set_id(s: np.ndarray) -> int:
+    return int(mix64(mix64(s ^ _SECOND).sum(keepdims=True) + np.uint64(len(s))).view(np.int64)[0])
 
 
-def bands(sets: list[np.ndarray]) -> np.ndarray:
-    """List keys (sets x BANDS) of non-empty sets."""
-    flat = np.concatenate(sets)
-    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    multiply, add = _permutations()
-    minima = np.empty((BANDS * ROWS, len(sets)), np.uint64)
-    for i in range(BANDS * ROWS):
-        minima[i] = np.minimum.reduceat(flat * multiply[i] + add[i], starts)
-    keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64)[:, None], (BANDS, len(sets))).copy()
-    for r in range(ROWS):
-        keys = mix64(keys * _ODD + minima[r::ROWS])
-    return keys.T
+def parity(s: np.ndarray) -> bytes:
+    """How many shingles are in each bucket, modulo 2; two buckets and more for a shingle, a power of two."""
+    width = min(PARITY[1], max(PARITY[0], 1 << (2 * len(s) - 1).bit_length()))
+    counts = np.bincount(((s >> np.uint64(7)) % np.uint64(width)).astype(np.int64), minlength=width) & 1
+    return np.packbits(counts.astype(np.uint8), bitorder="little").tobytes()
 
 
-def profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_key, n_shingles, set_id, keys): set_id is a 64-bit hash of the whole set (null if empty)."""
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Parities (rows of words) of fewer buckets."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+def prefix_size(n):
+    return n - -(-n * NUMERATOR // DENOMINATOR) + 1
 
-    def kernel():
-        hashes = WordHashes()
 
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingles(t, hashes) for t in batch.column(1).to_pylist()]
-            full = [s for s in sets if len(s)]
-            keys = iter(bands(full).view(np.int64)) if full else iter(())
-            ids = [int(mix64(mix64(s ^ _SECOND).sum(keepdims=True) + np.uint64(len(s))).view(np.int64)[0]) if len(s) else None for s in sets]
-            return pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64()))],
-                names=["id", "text_key", "n_shingles", "set_id", "keys"],
-            )
+def rare_first(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The shingles of a set under which it is indexed, in the order of all sets: by level of the sketch, then by hash."""
+    order = np.argsort(levels[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
+    return s[order[: prefix_size(len(s))]]
 
-        return step
 
-    return map_slices(_with_key(docs, id_col, text_col), kernel, "id long, text_key long, n_shingles long, set_id long, keys array<long>")
+def may_link(na, ra, nb, rb):
+    """Whether sets of these sizes, with these many shingles from their first common one on, can link."""
+    rest = np.minimum(ra, rb) * (NUMERATOR + DENOMINATOR) >= (na + nb) * NUMERATOR
+    return rest & (np.minimum(na, nb) * DENOMINATOR >= np.maximum(na, nb) * NUMERATOR)
+
+
+def profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text_key, n_shingles, set_id, bits) for each document, set_id null if its set is empty, and the sketch of each task (chunk, counts)."""
+    chunks, width = 1 << (SKETCH_BITS - CHUNK_BITS), 1 << CHUNK_BITS
+    schema = "id long, text_key long, n_shingles long, set_id long, bits binary, chunk int, counts binary"
+    names = [x.split()[0] for x in schema.split(", ")]
+    none = lambda n, kind: pa.nulls(n, kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts = WordHashes(), np.zeros(chunks * width, np.uint32)
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(at, SLICE_ROWS)
+                sets = [shingles(t, hashes) for t in batch.column(1).to_pylist()]
+                if any(map(len, sets)):
+                    counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
+                n = len(sets)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([parity(s) if len(s) else None for s in sets], pa.binary()), none(n, pa.int32()), none(n, pa.binary())],
+                    names=names,
+                )
+        few = np.minimum(counts, 0xFFFF).astype(np.uint16).reshape(chunks, width)
+        for i in np.flatnonzero(few.any(axis=1)).tolist():
+            yield pa.RecordBatch.from_arrays([*(none(1, pa.int64()) for _ in range(4)), none(1, pa.binary()), pa.array([i], pa.int32()), pa.array([few[i].tobytes()], pa.binary())], names=names)
+
+    return _with_key(docs, id_col, text_col).mapInArrow(run, schema)
 
 
 def _with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return keyed_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
 
 
-def _needed(overlap_of: int) -> int:
-    """The least overlap with which two sets of this total size link: 100 o >= 75 (total - o)."""
-    return -(-NUMERATOR * overlap_of // (NUMERATOR + DENOMINATOR))
-
-
-def decide(leader: np.ndarray, member: np.ndarray, before: tuple[np.ndarray, int] | None) -> tuple[bool, tuple[np.ndarray, int] | None]:
-    """Whether two sets link; ``before``: the last set compared with this leader and its overlap."""
-    small, large = sorted((len(leader), len(member)))
-    if DENOMINATOR * small < NUMERATOR * large:
-        return False, before
-    needed = _needed(small + large)
-    if before is not None and 2 * len(before[0]) >= len(member):
-        other, known = before
-        fresh = np.setdiff1d(member, other, assume_unique=True)
-        gone = len(other) - (len(member) - len(fresh))
-        if known - gone >= needed:
-            return True, before
-        if known + len(fresh) < needed:
-            return False, before
-        if len(fresh) + gone <= len(member) // 2:
-            lost = np.setdiff1d(other, member, assume_unique=True)
-            overlap = known - len(np.intersect1d(lost, leader, True)) + len(np.intersect1d(fresh, leader, True))
-            return overlap >= needed, (member, overlap)
-    overlap = len(np.intersect1d(leader, member, True))
-    return overlap >= needed, (member, overlap)
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (b, block, a, text) sorted so that a block begins with its leader (a is null)."""
-    hashes, at, leader, before = WordHashes(), None, None, None
+def sketch_levels(profiles: DataFrame) -> np.ndarray:
+    """How common the shingles of each bucket are: 0 where not more than chance explains, then by powers of two."""
+    width = 1 << CHUNK_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[chunk] = sums.get(chunk, np.zeros(width, np.uint64)) + np.frombuffer(counts, np.uint16)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["chunk", "counts"])
+
+    parts = profiles.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(run, "chunk int, counts binary").collect()
+    total = np.zeros(1 << SKETCH_BITS)
+    for r in parts:
+        total[r["chunk"] * width : (r["chunk"] + 1) * width] += np.frombuffer(r["counts"], np.uint64)
+    mean = total.mean()
+    return np.log2(np.maximum(total - mean - 5 * np.sqrt(mean), 0) / 8 + 1).astype(np.uint8)
+
+
+def index_lists(docs: DataFrame, levels: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(token, set_id, n, place, leader): the index lists of two sets and more; a leader is a list's smallest set_id."""
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
+    names = ["token", "set_id", "n", "place"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, seen = WordHashes(), set()
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                out: list[list[np.ndarray]] = [[], [], [], []]
+                for text in whole.column(1).slice(at, SLICE_ROWS).to_pylist():
+                    s = shingles(text, hashes)
+                    if not len(s) or (own := set_id(s)) in seen:
+                        continue
+                    if len(seen) >= SEEN_SETS:
+                        seen.clear()
+                    seen.add(own)
+                    first = rare_first(s, shared.value)
+                    k = len(first)
+                    for column, values in zip(out, (first.view(np.int64), np.full(k, own, np.int64), np.full(k, len(s), np.int32), np.arange(k, dtype=np.int32)), strict=True):
+                        column.append(values)
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=names)
+
+    entries = keyed_text(docs, id_col, text_col).mapInArrow(run, "token long, set_id long, n int, place int").repartition("token")
+    # One exchange serves the sums and the entries; what is joined to them is the few tokens that several sets have.
+    # (The sums name all columns: an exchange of fewer would be another one.)
+    sums = entries.groupBy("token").agg(F.min("set_id").alias("leader"), F.max("set_id").alias("last"), F.max("n").alias("most"), F.max("place").alias("deepest"))
+    several = sums.where("leader != last and most > 0 and deepest >= 0").select("token", "leader")
+    return entries.join(several.hint("shuffle_hash"), "token").select(*names, "leader").distinct()
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, list]]:
+    """Whole groups of sorted rows, as many as a batch ends: (key columns, starts with the end, other columns as chunked arrays)."""
+    held: pa.Table | None = None
+
+    def bounds(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+        at = [rows.column(i).combine_chunks().to_numpy(zero_copy_only=False) for i in range(keys)]
+        change = np.zeros(rows.num_rows, bool)
+        change[:1] = True
+        for a in at:
+            change[1:] |= a[1:] != a[:-1]
+        return at, np.append(np.flatnonzero(change), rows.num_rows)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        at, edges = bounds(rows)
+        held = rows.slice(edges[-2])
+        if len(edges) > 2:
+            yield [a[: edges[-2]] for a in at], edges[:-1], [rows.column(i).slice(0, edges[-2]) for i in range(keys, rows.num_columns)]
+    if held is not None:
+        at, edges = bounds(held)
+        yield at, edges, [held.column(i) for i in range(keys, held.num_columns)]
+
+
+def list_pairs(edges: np.ndarray, c: np.ndarray, n: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Pairs (2 x k, distinct) of components that may link by one of the lists between ``edges``, each sorted by n and place."""
+    rest, out = n - place, [np.empty((2, 0), np.int64)]
+
+    def add(i: np.ndarray, j: np.ndarray) -> None:
+        ok = (c[i] != c[j]) & may_link(n[i], rest[i], n[j], rest[j])
+        if ok.any():
+            a, b = c[i[ok]], c[j[ok]]
+            out.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1))
+
+    sizes = np.diff(edges)
+    last = np.repeat(edges[1:], sizes)
+    i = np.flatnonzero(np.repeat(sizes <= LIST_BLOCK, sizes))
+    for d in range(1, LIST_BLOCK):
+        i = i[i + d < last[i]]
+        if not len(i):
+            break
+        add(i, i + d)
+    for start, end in zip(edges[:-1][sizes > LIST_BLOCK].tolist(), edges[1:][sizes > LIST_BLOCK].tolist(), strict=True):
+        at = np.arange(start, end, LIST_BLOCK)
+        low, high, most = np.minimum.reduceat(n[:end], at), np.maximum.reduceat(n[:end], at), np.maximum.reduceat(rest[:end], at)
+        one = np.minimum.reduceat(c[:end], at), np.maximum.reduceat(c[:end], at)
+        alone = one[0] == one[1]
+        for x in range(len(at)):
+            y = np.arange(x, len(at))
+            # The later block has the larger sets: its smallest against the largest of this one, and the best rests of both.
+            open_ = (np.minimum(high[x], low[y]) * DENOMINATOR >= low[y] * NUMERATOR) & (np.minimum(most[x], most[y]) * (NUMERATOR + DENOMINATOR) >= (low[x] + low[y]) * NUMERATOR)
+            open_ &= ~(alone[x] & alone[y] & (one[0][x] == one[0][y]))
+            for b in y[open_].tolist():
+                left, right = np.arange(at[x], min(at[x] + LIST_BLOCK, end)), np.arange(at[b], min(at[b] + LIST_BLOCK, end))
+                i, j = np.repeat(left, len(right)), np.tile(right, len(left))
+                add(i[i < j], j[i < j])
+    return np.unique(np.concatenate(out, axis=1), axis=1)
+
+
+def component_pairs(named: DataFrame) -> DataFrame:
+    """Pairs (a, b), distinct, of components that may link, of lists (token, c, n, place) that hold several components."""
+    entries = named.select("token", "c", "n", "place").distinct()
+    # A list of many entries is dealt out in pairs of its parts.
+    parts = entries.groupBy("token").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("parts"))
+    dealt = entries.join(parts, "token").withColumn("own", F.pmod(F.xxhash64("c", "n", "place"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "c", "n", "place")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+        for _, edges, columns in _groups(batches, 3):
+            c, n, place = (x.combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for x in columns)
+            found.append(list_pairs(edges, c, n, place))
+            if sum(x.shape[1] for x in found) > 1_000_000:
+                yield flush()
+                found.clear()
+        if found:
+            yield flush()
+
+    ordered = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "place")
+    return ordered.mapInArrow(run, "a long, b long").distinct()
+
+
+class Answers:
+    """The overlaps of one set after another with all sets of a block."""
+
+    def __init__(self, members: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(m) for m in members])
+        flat = np.concatenate(members)
+        order = np.argsort(flat, kind="stable")
+        self.owners = np.repeat(np.arange(len(members)), self.sizes)[order]
+        self.tokens, self.starts = np.unique(flat[order], return_index=True)
+        self.ends = np.append(self.starts[1:], len(flat))
+        self.before: tuple[np.ndarray, np.ndarray] | None = None
+
+    def _lists(self, tokens: np.ndarray) -> np.ndarray:
+        """How many of ``tokens`` each member has, by the lists of the block's index."""
+        at = np.searchsorted(self.tokens, tokens)
+        at = at[(at < len(self.tokens)) & (self.tokens[np.minimum(at, len(self.tokens) - 1)] == tokens)]
+        if not len(at):
+            return np.zeros(len(self.sizes), np.int64)
+        lengths = self.ends[at] - self.starts[at]
+        shift = np.repeat(self.starts[at] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
+        return np.bincount(self.owners[np.arange(lengths.sum()) + shift], minlength=len(self.sizes))
+
+    def overlaps(self, s: np.ndarray) -> np.ndarray:
+        if self.before is not None:
+            other, known = self.before
+            fresh = np.setdiff1d(s, other, assume_unique=True)
+            if 2 * len(fresh) + len(other) - len(s) < len(s) // 2:
+                known = known + self._lists(fresh) - self._lists(np.setdiff1d(other, s, assume_unique=True))
+                self.before = s, known
+                return known
+        self.before = s, self._lists(s)
+        return self.before[1]
+
+    def link(self, s: np.ndarray) -> int | None:
+        """The member that has most of what it needs to link with ``s``, if any links."""
+        overlap = self.overlaps(s)
+        spare = overlap * (NUMERATOR + DENOMINATOR) - (self.sizes + len(s)) * NUMERATOR
+        best = int(spare.argmax())
+        return best if spare[best] >= 0 else None
+
+
+class Block:
+    """Sizes and parities of a block's members."""
+
+    def __init__(self, sizes: np.ndarray, bits: list[np.ndarray]) -> None:
+        self.sizes, self.bits = sizes, bits
+        self.words = np.array([len(b) for b in bits])
+        self.known: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] = {}
+
+    def _rows(self, words: int, only: bool) -> tuple[np.ndarray, np.ndarray]:
+        if (words, only) not in self.known:
+            at = np.flatnonzero(self.words == words if only else self.words >= words)
+            rows = np.stack([folded(self.bits[i], words) for i in at.tolist()]) if len(at) else np.empty((0, words), np.uint64)
+            self.known[words, only] = at, rows
+        return self.known[words, only]
+
+    def may_link(self, n: int, bits: np.ndarray) -> bool:
+        """Whether sizes and parities let a set link with a member; sets that can have parities of sizes next to each other."""
+        for words, only in ((len(bits), False), (len(bits) // 2, True)):
+            at, rows = self._rows(words, only)
+            sizes = self.sizes[at]
+            near = np.minimum(sizes, n) * DENOMINATOR >= np.maximum(sizes, n) * NUMERATOR
+            if near.any():
+                apart = np.bitwise_count(rows[near] ^ folded(bits, words)).sum(axis=1, dtype=np.int64)
+                if (apart * (NUMERATOR + DENOMINATOR) <= (sizes[near] + n) * (DENOMINATOR - NUMERATOR)).any():
+                    return True
+        return False
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (target, block, shard, probe, set_id, n, bits), a group's members first: the probes that sizes and parities let link with a member."""
+    for keys, edges, (probe, ids, n, bits) in _groups(batches, 3):
+        probe, ids, n = (x.combine_chunks().to_numpy(zero_copy_only=False) for x in (probe, ids, n))
+        bits = [np.frombuffer(b, np.uint64) for b in bits.to_pylist()]
+        keep = np.zeros(len(ids), bool)
+        for start, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            first = start + int((~probe[start:end]).sum())
+            block = Block(n[start:first], bits[start:first])
+            for x in range(first, end):
+                keep[x] = block.may_link(int(n[x]), bits[x])
+        yield pa.RecordBatch.from_arrays([*(pa.array(k[keep]) for k in keys), pa.array(ids[keep])], names=["target", "block", "shard", "set_id"])
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (target, block, shard, probe, set_id, text), a group's members first: a link (a, b) for each probe that has one."""
+    hashes, at, members, ids, answers = WordHashes(), None, [], [], None
     for whole in batches:
         for start in range(0, whole.num_rows, SLICE_ROWS):
             batch = whole.slice(start, SLICE_ROWS)
             links: list[tuple[int, int]] = []
-            for b, block, a, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if a is None:
-                    at, leader, before = (b, block), shingles(text, hashes), None
-                elif at == (b, block):
-                    linked, before = decide(leader, shingles(text, hashes), before)
-                    if linked:
-                        links.append((a, b))
-                else:
-                    raise ValueError("a block without its leader")
+            for target, block, shard, probe, own, text in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if at != (target, block, shard):
+                    at, members, ids, answers = (target, block, shard), [], [], None
+                s = shingles(text, hashes)
+                if not probe:
+                    members.append(s)
+                    ids.append(own)
+                    continue
+                answers = answers or Answers(members)
+                best = answers.link(s)
+                if best is not None:
+                    links.append((own, ids[best]))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link; ``texts`` (set_id, n, text) has one row for each set of ``pairs``."""
-    blocks = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    placed = pairs.join(blocks, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("blocks")).alias("block"))
-    members = placed.join(texts.withColumnRenamed("set_id", "a"), "a").select("b", "block", "a", "n", "text")
-    leaders = blocks.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")).join(texts.withColumnRenamed("set_id", "b"), "b")
-    rows = members.unionByName(leaders.select("b", "block", F.lit(None).cast("long").alias("a"), "n", "text"))
-    ordered = rows.repartition("b", "block").sortWithinPartitions("b", "block", F.col("a").isNotNull(), "n", "a")
-    return ordered.select("b", "block", "a", "text").mapInArrow(_compare, "a long, b long")
+class Matcher:
+    """Compares sets of ``docs``; ``sets`` (set_id, n, bits, key, at) says which document has each."""
+
+    def __init__(self, docs: DataFrame, sets: DataFrame, spool: Spool, id_col: str, text_col: str) -> None:
+        self.docs, self.sets, self.spool, self.columns = docs, sets, spool, (id_col, text_col)
+
+    def texts(self, wanted: DataFrame) -> DataFrame:
+        """(set_id, text): one text for each wanted set, read again from the documents that have it."""
+        chosen = self.sets.join(wanted, "set_id", "left_semi").select("set_id", "key", "at")
+        found = _with_key(self.docs, *self.columns).withColumnRenamed(self.columns[0], "id")
+        few = chosen.count() <= BROADCAST_ROWS  # 24 bytes each
+        found = found.join(F.broadcast(chosen) if few else chosen, (F.col("text_key") == F.col("key")) & F.col("id").eqNullSafe(F.col("at")))
+        return found.groupBy("set_id").agg(F.any_value("text").alias("text"))
+
+    def links(self, probes: DataFrame, members: DataFrame, name: str) -> DataFrame:
+        """Links (a, b): one for each probe (target, set_id) and block of its target's members (target, set_id) in which it has any."""
+        sized = members.join(self.sets.select("set_id", "n"), "set_id").groupBy("target").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+        dealt = sized.join(probes.groupBy("target").agg(F.ceil(F.count("*") / BLOCK_PROBES).cast("int").alias("shards")), "target")
+        dealt = self.spool.save(dealt, f"{name}_dealt")
+        part = lambda c: F.pmod(F.xxhash64("set_id"), F.col(c)).cast("int")
+        every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        held = members.join(dealt, "target").withColumn("block", part("blocks")).withColumn("shard", every("shards")).select("target", "block", "shard", F.lit(False).alias("probe"), "set_id")
+        asked = probes.join(dealt, "target").withColumn("shard", part("shards")).withColumn("block", every("blocks")).select("target", "block", "shard", F.lit(True).alias("probe"), "set_id")
+        key = ["target", "block", "shard"]
+        rows = held.unionByName(asked).join(self.sets.select("set_id", "n", "bits"), "set_id").select(*key, "probe", "set_id", "n", "bits")
+        left = rows.repartition(*key).sortWithinPartitions(*key, "probe", "n", "set_id").mapInArrow(_alike, "target long, block int, shard int, set_id long")
+        left = self.spool.save(left, f"{name}_left")
+        rows = held.join(left.select(*key).distinct(), key, "left_semi").unionByName(left.withColumn("probe", F.lit(True)))
+        rows = self.spool.save(rows.join(self.sets.select("set_id", "n"), "set_id"), f"{name}_rows")
+        rows = rows.join(self.texts(rows.select("set_id").distinct()), "set_id").select(*key, "probe", "set_id", "text", "n")
+        ordered = rows.repartition(*key).sortWithinPartitions(*key, "probe", "n", "set_id").drop("n")
+        links = self.spool.save(ordered.mapInArrow(_linked, "a long, b long"), name)
+        for x in ("dealt", "left", "rows"):
+            self.spool.drop(f"{name}_{x}")
+        return links
 
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,126 +432,59 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one of null ids only has a null component_id. An empty table gives an empty result; other columns are ignored.
     """
     spool = Spool(docs.sparkSession)
-    profiles = spool.save(profile(docs, id_col, text_col), "profiles")
-    sets = profiles.where("set_id is not null")
-    # Rows of 24 bytes, streamed through one exchange for both uses; no list is ever held as a whole.
-    members = sets.groupBy("set_id").agg(F.any_value("keys").alias("keys")).select("set_id", F.explode("keys").alias("key")).repartition("key")
-    first = members.groupBy("key").agg(F.min("set_id").alias("first"), F.count("*").alias("size")).where("size > 1")
-    lists = spool.save(members.join(first, "key"), "lists")  # only keys that several sets share
-
-    texts = spool.save(_texts(docs, profiles, lists.select("set_id").distinct(), id_col, text_col), "texts")
-    votes = lists.where("set_id != first").groupBy("set_id", "first").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("set_id").agg(F.max_by("first", F.struct("votes", -F.col("first"))).alias("b"))
-    done = spool.save(best.select(F.col("set_id").alias("a"), "b"), "pairs1")
-    links = spool.save(compare(done, texts), "links1")
-    found = components(links)
-
-    pairs = _mixed(lists, found).where("set_id != first").select(F.col("set_id").alias("a"), F.col("first").alias("b"), "c").distinct()
-    of_first = found.select(F.col("v").alias("b"), F.col("c").alias("cb"))
-    pairs = pairs.join(of_first, "b", "left").where("c != coalesce(cb, b)").select("a", "b").join(done, ["a", "b"], "left_anti")
-    pairs = spool.save(pairs, "pairs2")
-    links = spool.save(links.unionByName(compare(pairs, texts)), "links2")
+    made = spool.save(profile(docs, id_col, text_col), "profiles")
+    profiles = made.where("chunk is null").select("id", "text_key", "n_shingles", "set_id", "bits")
+    of = F.min(F.struct("text_key", "id", "n_shingles", "bits"))
+    sets = profiles.where("set_id is not null").groupBy("set_id").agg(of.alias("of"), F.min("id").alias("own"))
+    sets = spool.save(sets.select("set_id", "own", F.col("of.n_shingles").alias("n"), F.col("of.bits").alias("bits"), F.col("of.text_key").alias("key"), F.col("of.id").alias("at")), "sets")
+    lists = spool.save(index_lists(docs, sketch_levels(made), id_col, text_col), "lists")
+    matcher = Matcher(docs, sets, spool, id_col, text_col)
+
+    followers = spool.save(lists.where("set_id != leader").select(F.col("leader").alias("target"), "set_id").distinct(), "followers")
+    links = matcher.links(followers, followers.select("target", F.col("target").alias("set_id")).distinct(), "links")
     found = components(links)
 
-    wanted = spool.save(_mixed(lists.where("size > 2"), found).select("set_id", "c").distinct(), "mixed")
-    pairs = spool.save(_prefix_pairs(texts, wanted).join(done.unionByName(pairs).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs3")
-    found = components(links.unionByName(compare(pairs, texts)))
-
-    smallest = sets.groupBy("set_id").agg(F.min("id").alias("own"))
+    named = lists.join(found.withColumnRenamed("v", "set_id"), "set_id", "left").select("token", "set_id", "n", "place", F.coalesce("c", "set_id").alias("c"))
+    several = named.groupBy("token").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least != most").select("token")
+    named = spool.save(named.join(several, "token", "left_semi"), "mixed")
+    vertices = spool.save(named.select("set_id", "c").distinct(), "vertices")
+    sizes = vertices.groupBy("c").agg(F.count("*").alias("size"))
+    pairs = component_pairs(named)
+    for end in ("a", "b"):
+        pairs = pairs.join(sizes.select(F.col("c").alias(end), F.struct("size", "c").alias(f"s{end}")), end)
+    pairs = spool.save(pairs.select(F.least("sa", "sb")["c"].alias("c"), F.greatest("sa", "sb")["c"].alias("target")), "pairs")
+    probes = pairs.join(vertices, "c").select("target", "set_id")
+    members = pairs.select("target").distinct().join(vertices, F.col("target") == F.col("c")).select("target", "set_id")
+    more = matcher.links(spool.save(probes, "probes"), spool.save(members, "members"), "more")
+    found = components(links.unionByName(more))
+
+    smallest = sets.select("set_id", "own")
     named = smallest.join(found.withColumnRenamed("v", "set_id"), "set_id", "left").select("set_id", "own", F.coalesce("c", "set_id").alias("c"))
     by_component = named.groupBy("c").agg(F.min("own").alias("component_id"))
     by_set = named.join(by_component, "c").select("set_id", "component_id")
     own = F.when(F.col("set_id").isNull(), F.col("id")).otherwise(F.col("component_id"))
     out = profiles.select("id", "n_shingles", "set_id").join(by_set, "set_id", "left").select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"))
     out = spool.save(out, "result")
-    for name in ("profiles", "lists", "texts", "pairs1", "links1", "pairs2", "links2", "mixed", "pairs3"):
+    for name in ("profiles", "sets", "lists", "followers", "links", "mixed", "vertices", "pairs", "probes", "members", "more"):
         spool.drop(name)
     return out
 
 
-def _texts(docs: DataFrame, profiles: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(set_id, n, text): one text for each wanted set, read again from the documents that have it."""
-    chosen = profiles.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min(F.struct("text_key", "id")).alias("of"), F.any_value("n_shingles").alias("n"))
-    chosen = chosen.select("set_id", "n", F.col("of.text_key").alias("key"), F.col("of.id").alias("at"))
-    texts = _with_key(docs, id_col, text_col).withColumnRenamed(id_col, "id")
-    few = chosen.count() <= BROADCAST_ROWS  # 40 bytes each
-    found = texts.join(F.broadcast(chosen) if few else chosen, (F.col("text_key") == F.col("key")) & F.col("id").eqNullSafe(F.col("at")))
-    return found.groupBy("set_id").agg(F.any_value("n").alias("n"), F.any_value("text").alias("text"))
-
-
-def _mixed(lists: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows of lists that still hold several components: (key, set_id, first, c)."""
-    named = lists.join(found.withColumnRenamed("v", "set_id"), "set_id", "left").select("key", "set_id", "first", F.coalesce("c", "set_id").alias("c"))
-    several = named.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least != most").select("key")
-    return named.join(several, "key", "left_semi")
-
-
-def _prefix_pairs(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Pairs (a, b) of ``wanted`` sets (set_id, c) of different components that may link, by their prefixes."""
-
-    def kernel():
-        hashes = WordHashes()
-
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [shingles(t, hashes).view(np.int64) for t in batch.column(2).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["set_id", "c", "tokens"])
-
-        return step
-
-    def parities():
-        hashes = WordHashes()
-
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out = np.zeros((batch.num_rows, PARITY), np.uint64)
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                s = shingles(text, hashes)
-                counts = np.bincount((s >> np.uint64(7)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
-                out[i] = np.packbits(counts.astype(np.uint8)).view(np.uint64)
-            return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[:, k].view(np.int64)) for k in range(PARITY))], names=["set_id", *(f"bit{k}" for k in range(PARITY))])
-
-        return step
-
-    chosen = texts.join(wanted, "set_id").select("set_id", "c", "text")
-    tokens = map_slices(chosen, kernel, "set_id long, c long, tokens array<long>").select("set_id", F.size("tokens").alias("n"), "c", F.explode("tokens").alias("token"))
-    tokens = tokens.repartition("token")
-    # A token within one component only pairs nothing, but still counts as a position.
-    counts = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("c").alias("least"), F.max("c").alias("most")).where("df > 1")
-    shared = tokens.join(counts, "token").select("set_id", "n", "c", "token", "df", (F.col("least") != F.col("most")).alias("mixed"))
-    in_order = Window.partitionBy("set_id").orderBy("df", "token")
-    own = F.col("n") - F.count("*").over(Window.partitionBy("set_id"))
-    placed = shared.withColumn("place", own + F.row_number().over(in_order) - 1)  # 0 is the rarest
-    prefix = placed.where(f"mixed and place <= n - ceil(n * {NUMERATOR} / {DENOMINATOR})").select("token", "set_id", "n", "c", "place")
-    bits = [f"bit{i}" for i in range(PARITY)]
-    prefix = prefix.join(map_slices(chosen, parities, "set_id long, " + ", ".join(f"{b} long" for b in bits)), "set_id").select("token", "set_id", "n", "c", "place", *bits)
-    x, y = prefix.toDF("token", "a", "na", "ca", "pa", *(f"x{b}" for b in bits)), prefix.toDF("token", "b", "nb", "cb", "pb", *(f"y{b}" for b in bits))
-    close = f"least(na, nb) * {DENOMINATOR} >= greatest(na, nb) * {NUMERATOR}"
-    # Without an earlier shared token, what is left after the places bounds the overlap.
-    enough = f"least(na - pa, nb - pb) * {NUMERATOR + DENOMINATOR} >= (na + nb) * {NUMERATOR}"
-    main = prefix.groupBy("token", "c").agg(F.count("*").alias("held")).groupBy("token").agg(F.max_by("c", F.struct("held", -F.col("c"))).alias("main"))
-    minor = x.join(main, "token").where("ca != main")
-    # Shingles that one of two sets has alone: at least the bits in which their parities differ.
-    apart = " + ".join(f"bit_count(x{b} ^ y{b})" for b in bits)
-    few = f"({apart}) * {NUMERATOR + DENOMINATOR} <= (na + nb) * {DENOMINATOR - NUMERATOR}"
-    pairs = minor.join(y, "token").where(f"ca != cb and (cb = main or a > b) and {close} and {enough} and {few}")
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: the one whose doc_id names it. All columns stay.
+    """``docs`` with one row of each component: the one whose doc_id names it. All columns stay, whatever their names.
 
-    Rows without shingles or without a doc_id stay as they are.
+    Rows without shingles or without a doc_id stay as they are; of rows that share the naming doc_id one stays.
     """
-    found = join_components(docs)
     spool = Spool(docs.sparkSession)
-    gone = spool.save(found.where("n_shingles > 0 and doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    repeated = spool.save(found.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("twice")), "repeated")
+    found = join_components(docs)
+    gone = spool.save(found.where("n_shingles > 0 and doc_id != component_id").select("doc_id").distinct(), "gone")
+    twice = spool.save(found.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "twice")
     few = gone.count() <= BROADCAST_ROWS  # 8 bytes each
-    kept = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("gone"), "left_anti")
-    if repeated.isEmpty():
+    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    if twice.isEmpty():
         return kept
-    marked = kept.join(repeated, F.col("doc_id") == F.col("twice"), "left")
-    once = marked.where("twice is not null").dropDuplicates(["doc_id"])
-    return marked.where("twice is null").unionByName(once).select(*docs.columns)
+    once = kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,17 +77,63 @@ def test_small_cases_and_one_document_of_each_group(spark):
     assert s.join_components(df.limit(0)).count() == 0
 
 
-def test_derived_overlaps_decide_as_direct_ones():
+def test_derived_answers_are_the_direct_ones():
     rng = np.random.default_rng(4)
-    for _ in range(300):
-        leader = np.unique(rng.integers(0, 60, 40)).astype(np.uint64)
-        before = None
-        member = leader
+    some = lambda k: np.unique(rng.integers(0, 60, k)).astype(np.uint64)
+    for _ in range(200):
+        members = [some(rng.integers(1, 40)) for _ in range(rng.integers(1, 6))]
+        answers, probe = s.Answers(members), some(40)
         for _ in range(6):
-            member = np.unique(np.concatenate([rng.permutation(member)[: max(1, len(member) - rng.integers(0, 6))], rng.integers(0, 60, rng.integers(0, 6)).astype(np.uint64)]))
-            linked, before = s.decide(leader, member, before)
-            overlap = len(np.intersect1d(leader, member))
-            assert linked == (100 * overlap >= 75 * (len(leader) + len(member) - overlap))
+            overlap = [len(np.intersect1d(m, probe)) for m in members]
+            assert answers.overlaps(probe).tolist() == overlap
+            linked = [100 * o >= 75 * (len(m) + len(probe) - o) for m, o in zip(members, overlap, strict=True)]
+            best = answers.link(probe)
+            assert linked[best] if best is not None else not any(linked)
+            probe = np.unique(np.concatenate([rng.permutation(probe)[: max(1, len(probe) - rng.integers(0, 6))], some(rng.integers(1, 6))]))
+
+
+def test_lists_name_the_pairs_that_may_link():
+    rng = np.random.default_rng(5)
+    for many in (3, 40, 300):
+        lists = [sorted(zip(rng.integers(20, 60, k).tolist(), rng.integers(0, 12, k).tolist(), rng.integers(0, 9, k).tolist(), strict=True)) for k in rng.integers(1, many, 4).tolist()]
+        want = set()
+        for rows in lists:
+            for i, (na, pa, ca) in enumerate(rows):
+                for nb, pb, cb in rows[i + 1 :]:
+                    if ca != cb and 100 * min(na, nb) >= 75 * max(na, nb) and 175 * min(na - pa, nb - pb) >= 75 * (na + nb):
+                        want.add((min(ca, cb), max(ca, cb)))
+        n, place, c = (np.array([r[k] for rows in lists for r in rows], np.int64) for k in range(3))
+        edges = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+        assert set(map(tuple, s.list_pairs(edges, c, n, place).T.tolist())) == want
+
+
+def test_parities_keep_every_link():
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        k = int(rng.integers(1, 900))
+        sets = [np.unique(rng.integers(0, 2**63, k).astype(np.uint64))]
+        for _ in range(4):
+            sets.append(np.unique(np.concatenate([rng.permutation(sets[0])[: max(1, int(k * rng.uniform(0.6, 1)))], rng.integers(0, 2**63, rng.integers(0, k // 8 + 1)).astype(np.uint64)])))
+        bits = [np.frombuffer(s.parity(x), np.uint64) for x in sets]
+        block = s.Block(np.array([len(x) for x in sets[1:]]), bits[1:])
+        overlaps = [len(np.intersect1d(sets[0], x)) for x in sets[1:]]
+        linked = any(100 * o >= 75 * (len(sets[0]) + len(x) - o) for x, o in zip(sets[1:], overlaps, strict=True))
+        assert block.may_link(len(sets[0]), bits[0]) or not linked
+    far = np.unique(rng.integers(0, 2**63, k).astype(np.uint64))
+    assert not s.Block(np.array([len(far)]), [np.frombuffer(s.parity(far), np.uint64)]).may_link(len(sets[0]), bits[0])
+
+
+def test_prefixes_of_linked_sets_meet():
+    rng = np.random.default_rng(6)
+    levels = rng.integers(0, 3, 1 << s.SKETCH_BITS).astype(np.uint8)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 60)).astype(np.uint64) * np.uint64(2))
+        b = np.unique(np.concatenate([rng.permutation(a)[: max(1, int(len(a) * rng.uniform(0.7, 1)))], rng.integers(0, 2**63, rng.integers(0, 6)).astype(np.uint64)]))
+        overlap = len(np.intersect1d(a, b))
+        if 100 * overlap >= 75 * (len(a) + len(b) - overlap):
+            x, y = s.rare_first(a, levels).tolist(), s.rare_first(b, levels).tolist()
+            first = next(t for t in x if t in y)
+            assert s.may_link(len(a), len(a) - x.index(first), len(b), len(b) - y.index(first))
 
 
 def test_components(spark):
