@@ -84,43 +84,51 @@ def choose_lexicon(docs: list[Collection[bytes]], toxic: np.ndarray, most: int =
     Of voters with equal rows the most specific is taken, and none under a chosen stem unless it is more precise. Copies of a text count once.
     """
     groups = copy_groups(docs)
-    of_word: dict[bytes, list[str]] = {}
-    seen: dict[str, list[int]] = {}
-    for i in range(len(docs)):
-        if toxic[i]:
-            for g in {g for w in docs[i] for g in of_word.get(w) or of_word.setdefault(w, grams(w))}:
-                seen.setdefault(g, []).append(groups[i])
-    seen = {g: sorted(set(rows)) for g, rows in seen.items() if len(rows) > 1}
-    seen = {g: rows for g, rows in seen.items() if len(rows) > 1}
-    clean: dict[str, set[int]] = {g: set() for g in seen}
+    rows_of: tuple[dict[int, list[int]], dict[int, list[int]]] = ({}, {})  # clean and toxic rows of each group
+    for i, g in enumerate(groups):
+        rows_of[int(toxic[i])].setdefault(g, []).append(i)
+    # Only numbers are held for each gram and word: a group counts once, whatever its rows.
+    number: dict[str, int] = {}
+    of_word: dict[bytes, tuple[int, ...]] = {}
+    for rows in rows_of[1].values():
+        for w in {w for i in rows for w in docs[i]}:
+            if w not in of_word:
+                of_word[w] = tuple(number.setdefault(g, len(number)) for g in grams(w))
+    hits = np.zeros(len(number), np.int64)
+    for rows in rows_of[1].values():
+        hits[list({n for i in rows for w in docs[i] for n in of_word[w]})] += 1
+    several = hits > 1
+    number = {g: n for g, n in number.items() if several[n]}
     of_word = {}
-    for i in range(len(docs)):
-        if not toxic[i]:
-            hits: set[str] = set()
-            for w in docs[i]:
-                v = of_word.get(w)
-                if v is None:
-                    v = of_word[w] = [g for g in grams(w) if g in seen]
-                if v:
-                    hits.update(v)
-            for g in hits:
-                clean[g].add(groups[i])
+    clean = np.zeros(len(hits), np.int64)
+    for rows in rows_of[0].values():
+        found: set[int] = set()
+        for w in {w for i in rows for w in docs[i]}:
+            v = of_word.get(w)
+            if v is None:
+                v = of_word[w] = tuple(n for g in grams(w) if (n := number.get(g)) is not None)
+            found.update(v)
+        clean[list(found)] += 1
     sampled = float(np.mean(toxic))
-    needed = np.log(max(len(seen), 1) / CHANCE)
+    needed = np.log(max(len(number), 1) / CHANCE)
     precise = []
-    for g, rows in seen.items():
-        hit, missed = len(rows), len(clean[g])
+    for g, n in number.items():
+        hit, missed = int(hits[n]), int(clean[n])
         share = hit / (hit + missed)
         surprise = hit * np.log(share / sampled) + (missed and missed * np.log((1 - share) / (1 - sampled)))
         if share >= MIN_PRECISION and surprise >= needed:
             precise.append((-hit, -len(g), g))
+    wanted, where = {g for _, _, g in precise}, {g: [] for _, _, g in precise}
+    for group, rows in sorted(rows_of[1].items()):
+        for g in {g for i in rows for w in docs[i] for g in grams(w) if g in wanted}:
+            where[g].append(group)
     chosen: dict[str, None] = {}
     taken: set[tuple[int, ...]] = set()
     for _, _, g in sorted(precise):
         wider = [g[:n] for n in STEMS if n < len(g) and g[:n] in chosen]
-        if tuple(seen[g]) not in taken and not any(len(clean[w]) <= len(clean[g]) for w in wider):
+        if tuple(where[g]) not in taken and not any(clean[number[w]] <= clean[number[g]] for w in wider):
             chosen[g] = None
-            taken.add(tuple(seen[g]))
+            taken.add(tuple(where[g]))
             if len(chosen) == most:
                 break
     return list(chosen)
