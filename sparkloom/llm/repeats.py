@@ -35,7 +35,9 @@ SPAN = 2 * LENGTH - GRAM
 MAX_COLLECTION = 20_000
 ROUND_SEGMENTS = 8192
 BROADCAST_ROWS = 300_000
+BROADCAST_RUNS = 2_000_000  # 24 bytes each
 END = 256
+SPANS = "array<struct<first:long,end:long>>"
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -159,6 +161,8 @@ def _collections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if held and row[:2] == held[-1][:2]:
+                continue  # from a repeated row
             if len(held) >= ROUND_SEGMENTS and row[0] != held[-1][0]:
                 yield build(held)
                 held = []
@@ -190,7 +194,7 @@ def _anchor_rows(texts: DataFrame) -> DataFrame:
 
 
 def _segment_rows(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(anchor, segment, several, lead, content) of wanted (anchor, segment, several, row, at), cut from their texts."""
+    """(anchor, segment, several, lead, content) of wanted (anchor, segment, several, row, at), cut from their texts; twice where a row stands twice."""
     by_row = wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "segment", "several", "at")).alias("wanted"))
     few = by_row.count() <= BROADCAST_ROWS and wanted.count() <= 4 * BROADCAST_ROWS
     found = texts.join(F.broadcast(by_row) if few else by_row, "row").select("text", "wanted")
@@ -211,7 +215,7 @@ def _segment_rows(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
         return step
 
-    return map_slices(found, kernel, "anchor long, segment long, several boolean, lead int, content binary").dropDuplicates(["anchor", "segment"])
+    return map_slices(found, kernel, "anchor long, segment long, several boolean, lead int, content binary")
 
 
 def _counted(segments: DataFrame) -> DataFrame:
@@ -251,10 +255,11 @@ def _counted(segments: DataFrame) -> DataFrame:
 
 
 def find_repeats(docs: DataFrame, spool: Spool, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(texts, spans): texts (row, id, text) and, for each row with repeats, spans of bytes (row, spans<first, end>), which may overlap."""
+    """(texts, spans): texts (row, id, text) and, for each row with repeats, the maximal runs of their bytes (row, spans<first, end>)."""
     texts = keyed_text(docs, id_col, text_col).select(F.xxhash64(F.col(id_col), "text").alias("row"), F.col(id_col).alias("id"), "text")
     marked = spool.save(_anchor_rows(texts), "anchors")
     kept = marked.groupBy("anchor").agg(F.count("*").alias("rows"), F.min("segment").alias("least"), F.max("segment").alias("most")).where("rows > 1").select("anchor", (F.col("least") == F.col("most")).alias("alike"))
+    kept = spool.save(kept, "kept")  # a plain join of two tables, so that a hot anchor's partition can be split
     shared = spool.save(marked.join(kept, "anchor"), "shared")
     distinct = shared.where("not alike").groupBy("anchor", "segment").agg(F.count("*").alias("rows"), F.min(F.struct("row", "at")).alias("of"))
     wanted = spool.save(distinct.select("anchor", "segment", (F.col("rows") > 1).alias("several"), "of.row", "of.at"), "wanted")
@@ -264,25 +269,35 @@ def find_repeats(docs: DataFrame, spool: Spool, id_col: str = "doc_id", text_col
     small = segments.join(large, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor", "segment")
     starts = small.select("anchor", "segment", "several", "lead", "content").mapInArrow(_collections, "anchor long, segment long, starts array<struct<first:long,last:long>>")
     if not large.isEmpty():
-        starts = starts.unionByName(_counted(segments.join(large, "anchor", "left_semi").select("anchor", "segment", "several", "lead", "content")))
+        starts = starts.unionByName(_counted(segments.join(large, "anchor", "left_semi").dropDuplicates(["anchor", "segment"]).select("anchor", "segment", "several", "lead", "content")))
     starts = spool.save(starts, "starts")
     origin = F.col("at") + (GRAM - LENGTH)
     alike = shared.where("alike").select("row", F.greatest(origin, F.lit(0)).alias("first"), F.least(F.col("at") + LENGTH, F.col("n")).alias("end"))
     built = shared.where("not alike").join(starts, ["anchor", "segment"]).select("row", origin.alias("origin"), F.explode("starts").alias("s"))
     built = built.select("row", (F.col("origin") + F.col("s.first")).alias("first"), (F.col("origin") + F.col("s.last") + LENGTH).alias("end"))
     spans = alike.unionByName(built).groupBy("row").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
-    return texts, spool.save(spans, "spans")
 
+    def runs():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            column = batch.column(1)
+            flat, edges = column.flatten(), np.concatenate([[0], np.cumsum([len(x) for x in column])]).tolist()
+            first, end = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+            found = [[{"first": x, "end": y} for x, y in merged(first[a:b], end[a:b])] for a, b in zip(edges, edges[1:], strict=False)]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))], names=["row", "spans"])
 
-def merged(spans: list[dict[str, int]]) -> list[tuple[int, int]]:
-    """Maximal runs of the union of byte spans."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted((s["first"], s["end"]) for s in spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+        return step
+
+    return texts, spool.save(map_slices(spans, runs, f"row long, spans {SPANS}"), "spans")
+
+
+def merged(first: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal runs of the union of spans."""
+    if not len(first):
+        return []
+    order = np.argsort(first, kind="stable")
+    first, reach = first[order], np.maximum.accumulate(end[order])
+    opens = np.flatnonzero(np.concatenate([[True], first[1:] > reach[:-1]]))
+    return list(zip(first[opens].tolist(), reach[np.append(opens[1:], len(first)) - 1].tolist(), strict=True))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,13 +309,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spool = Spool(docs.sparkSession)
     texts, spans = find_repeats(docs, spool, id_col, text_col)
-    few = spans.count() <= BROADCAST_ROWS
-    joined = texts.join(F.broadcast(spans) if few else spans, "row", "left").select("id", "text", "spans")
+    runs = spans.agg(F.sum(F.size("spans") + 2)).first()[0] or 0
+    joined = texts.join(F.broadcast(spans) if runs <= BROADCAST_RUNS else spans, "row", "left").select("id", "text", "spans")
 
     def kernel():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             raw = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-            runs = [merged(s or []) for s in batch.column(2).to_pylist()]
+            runs = [[(x["first"], x["end"]) for x in s or []] for s in batch.column(2).to_pylist()]
             kept = []
             for r, gone in zip(raw, runs, strict=True):
                 ends = [0, *(b for _, b in gone)]
@@ -310,9 +325,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         return step
 
-    for name in ("anchors", "shared", "wanted", "segments", "large", "starts"):
+    for name in ("anchors", "kept", "shared", "wanted", "segments", "large", "starts"):
         spool.drop(name)
-    return map_slices(joined, kernel, f"{id_col} long, n_bytes long, spans array<struct<first:long,end:long>>, kept binary")
+    return map_slices(joined, kernel, f"{id_col} long, n_bytes long, spans {SPANS}, kept binary")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
