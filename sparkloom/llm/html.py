@@ -35,6 +35,7 @@ MIN_PAGES, MIN_TOKENS, MIN_SHARE = 3, 2, 0.5
 BROADCAST_ROLES = 1_000_000
 #: The token that every page has once, so that a layout's pages are counted with its tokens.
 PAGE = 0
+LONG_PATH = 1000
 
 _ATTRIBUTES = r"""(?:"[^"]*"|'[^']*'|[^'">])*"""
 _TOKEN = re.compile(
@@ -72,6 +73,11 @@ def is_zone(name: str, given: dict[str, str], in_article: bool) -> int:
     return int(bool(words & (ZONE_WORDS - {"header"} if in_article else ZONE_WORDS)))
 
 
+def _short(path: str) -> str:
+    """A path of bounded length: a long one is named by its hash, so that roles of any depth stay apart."""
+    return path if len(path) <= LONG_PATH else f"#{xxhash.xxh3_128_hexdigest(path)}"
+
+
 def parse(page: str) -> tuple[list[tuple[str, tuple[str, ...], bool, str]], list[str], str]:
     """Text blocks (path, paths of the zones around it, in the article, text), the roles of the tags, in page order, and the layout.
 
@@ -130,7 +136,7 @@ def parse(page: str) -> tuple[list[tuple[str, tuple[str, ...], bool, str]], list
         _, path, zone, article = stack[-1]
         article = article or name in ("article", "main")
         kind = "".join(f"{k[0]}:{given[k]}" for k in ("class", "id", "role") if given.get(k))
-        path = f"{path}/{name}{kind}" if len(stack) < 60 else path
+        path = _short(f"{path}/{name}{kind}")
         roles.append(path)
         if name in ("body", "article", "main"):
             marks.setdefault("body" if name == "body" else "article", path)
@@ -198,7 +204,8 @@ def templates(pages: DataFrame) -> DataFrame:
 
     tokens = map_slices(pages, kernel, "host string, layout long, role long, mark long")
     of = ["host", "layout"]
-    vectors = tokens.groupBy(*of, "role").agg(F.count("*").alias("support"), F.sum(F.pmod("mark", F.lit(1 << 40))).alias("vector"))
+    halves = (F.pmod("mark", F.lit(1 << 31)), F.shiftright("mark", 31))  # sums of 2^32 such marks fit a long
+    vectors = tokens.groupBy(*of, "role").agg(F.count("*").alias("support"), F.struct(*(F.sum(x).alias(f"v{i}") for i, x in enumerate(halves))).alias("vector"))
     sizes = vectors.where(F.col("role") == PAGE).select(*of, F.col("support").alias("pages"))
     vectors = vectors.where(F.col("role") != PAGE)
     classes = vectors.groupBy(*of, "support", "vector").agg(F.count("*").alias("tokens"))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ascii_lower, table
 
 K = 2
 NEIGHBOUR = 2
@@ -90,7 +90,7 @@ def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, id_col: str = "doc_i
     Null text is empty: no words, no spans. Null ids stay null; repeated rows each get their row;
     an empty table gives an empty result; other columns are ignored. Texts are scanned whole.
     """
-    cut = F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), SEPARATORS)
+    cut = F.split(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), SEPARATORS)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), cut.alias("parts"))
     lead = (F.get("parts", F.lit(0)) == "").cast("int")
     trail = (F.element_at("parts", -1) == "").cast("int")

@@ -13,6 +13,7 @@ no round shuffles; more are dealt out by hash and raked by the same windows.
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -45,12 +46,12 @@ def tokens_of(text: Column) -> Column:
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
-    """The columns used, under names of their own: d_source, d_lang, d_topic, d_tokens, d_draw."""
+    """The columns used, under names of their own (d_source, d_lang, d_topic, d_tokens, d_draw), and the whole row as ``row``, so that no name clashes."""
     text = F.coalesce(F.col("text"), F.lit(""))
     topic = F.col("topic").cast("string") if "topic" in docs.columns else topic_of(text)
     draw = F.pmod(F.xxhash64("doc_id", text, F.lit(17)), F.lit(1 << 52)) / F.lit(float(1 << 52))
     named = {d: F.coalesce(c.cast("string"), F.lit(MISSING)) for d, c in (("source", F.col("source")), ("lang", F.col("lang")), ("topic", topic))}
-    return docs.select("*", *(c.alias(f"d_{d}") for d, c in named.items()), tokens_of(text).cast("long").alias("d_tokens"), draw.alias("d_draw"))
+    return docs.select(F.struct("*").alias("row"), *(c.alias(f"d_{d}") for d, c in named.items()), tokens_of(text).cast("long").alias("d_tokens"), draw.alias("d_draw"))
 
 
 def fit_cells(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep_share: float = KEEP_SHARE, temper: float = TEMPER) -> DataFrame:
@@ -89,6 +90,8 @@ def fit_cells(docs: DataFrame, targets: dict[str, dict[str, float]] | None = Non
         worst = (cells.coalesce(1) if small else cells).select(off.alias("off")).agg(F.max("off")).first()[0]
         if worst is None or worst <= TOLERANCE:
             break
+    else:
+        warnings.warn(f"the marginals are still off by {worst:.2g} after {MOST_ROUNDS} rounds: no weights of these cells may meet all targets", stacklevel=2)
     cells = cells.coalesce(1) if small else cells
     ordered = Window.partitionBy(F.lit(0)).orderBy("ratio", *names)
     upward = ordered.rowsBetween(Window.unboundedPreceding, -1)
@@ -107,8 +110,10 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, kee
 
     Null sources, languages and topics form cells of their own; documents without text hold no
     tokens, have weight 0 and probability 1 (they cost nothing, and are kept); repeated rows draw alike;
-    an empty table gives an empty result. The draw is a hash, so a rerun samples the same rows.
+    an empty table gives an empty result; columns of other names stay, whatever they are called, and
+    mix_ columns of an earlier mixing are replaced. The draw is a hash, so a rerun samples the same rows.
     """
+    docs = docs.drop(*(f"mix_{c}" for c in ("topic", "tokens", "weight", "probability", "sampled")))
     names = [f"d_{d}" for d in DIMENSIONS]
     cells = fit_cells(docs, targets, keep_share, temper).select(*(F.col(n).alias(f"c{n}") for n in names), F.col("weight").alias("c_weight"), F.col("tokens").alias("c_tokens"), F.col("probability").alias("c_probability"))
     small = cells.count() <= SMALL_CELLS
@@ -117,7 +122,7 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, kee
     joined = rows.join(F.broadcast(cells) if small else cells, on, "left")
     probability = F.when(F.col("d_tokens") == 0, F.lit(1.0)).otherwise(F.coalesce("c_probability", F.lit(0.0)))
     return joined.select(
-        *docs.columns,
+        "row.*",
         F.col("d_topic").alias("mix_topic"),
         F.col("d_tokens").alias("mix_tokens"),
         F.coalesce(F.col("c_weight") * F.col("d_tokens") / F.col("c_tokens"), F.lit(0.0)).alias("mix_weight"),

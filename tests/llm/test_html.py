@@ -50,6 +50,13 @@ def test_template_text_is_found_where_nothing_marks_the_article(spark):
     assert 0 in levels
 
 
+def test_deep_pages_keep_their_roles_apart():
+    deep = "<html><body>" + "<div>" * 3000 + "<p>a</p><div><p>b</p></div>"
+    blocks, roles, _ = h.parse(deep)
+    assert [x[3] for x in blocks] == ["a", "b"] and blocks[0][0] != blocks[1][0]
+    assert len(set(roles)) == len(roles) and max(map(len, roles)) <= h.LONG_PATH
+
+
 def test_small_cases(spark):
     rows = [(1, None, None), (2, "nonsense", ""), (None, "http://a/", "<p>x"), (4, "http://a/", "plain < text & more"), (4, "http://a/", "plain < text & more"), (5, "http://a/", "<p>" + "y " * 50_000), (6, "http://a/", "<nav><p>m</p></nav></article></b><p>ok</div> z<script>var")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, host int")

@@ -1,6 +1,7 @@
 import duckdb
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.llm import mixing as m
@@ -62,6 +63,23 @@ def test_given_targets_and_dealt_cells(spark, monkeypatch):
     np.testing.assert_allclose(dealt.sort_values(order)["weight"], cells.sort_values(order)["weight"], atol=1e-9)
 
 
+def test_names_that_clash(spark):
+    names = ["d_source", "d_draw", "d_tokens", "c_weight", "c_probability", "cd_source", "row", "rows", "tokens", "mix_sampled"]
+    df = spark.createDataFrame([(i, "x" * 40 * i, f"s{i % 2}", "en", *(n + str(i) for n in names)) for i in range(1, 9)], ["doc_id", "text", "source", "lang", *names])
+    plain = {r["doc_id"]: r for r in m.mix(df.select("doc_id", "text", "source", "lang")).collect()}
+    got = m.mix(df)
+    assert got.columns == ["doc_id", "text", "source", "lang", *names[:-1], "mix_topic", "mix_tokens", "mix_weight", "mix_probability", "mix_sampled"]
+    for r in got.collect():
+        assert all(r[n] == n + str(r["doc_id"]) for n in names[:-1]) and r["mix_sampled"] == plain[r["doc_id"]]["mix_sampled"]
+    assert m.mix(got.where("mix_sampled")).count() == sum(r["mix_sampled"] for r in plain.values())
+
+
+def test_marginals_that_cannot_hold_are_told(spark):
+    df = spark.createDataFrame([(1, "x" * 40, "a", "en", "t"), (2, "x" * 40, "b", "de", "t")], "doc_id long, text string, source string, lang string, topic string")
+    with pytest.warns(UserWarning, match="still off"):
+        m.fit_cells(df, {"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.1, "de": 0.9}})
+
+
 def test_small_cases(spark):
     rows = [(1, None, None, None, 1), (2, "", "a", "en", 1), (None, "abc", "a", "en", 1), (4, "x" * 50_000, "b", "de", 1), (4, "x" * 50_000, "b", "de", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, tokens int")
