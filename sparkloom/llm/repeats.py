@@ -337,4 +337,24 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_suffix_dedup": op5_suffix_dedup}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op5_suffix_dedup": """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+starts AS (SELECT r, b, unnest(range(1, octet_length(b) - 398)) AS s FROM docs WHERE octet_length(b) >= 400),
+strings AS (SELECT r, s, md5(array_slice(b, s, s + 399)) AS k FROM starts),
+repeated AS (SELECT r, s FROM (SELECT r, s, count(*) OVER (PARTITION BY k) AS n FROM strings) WHERE n > 1),
+marked AS (SELECT r, s, CASE WHEN s <= lag(s) OVER (PARTITION BY r ORDER BY s) + 400 THEN 0 ELSE 1 END AS opens FROM repeated),
+numbered AS (SELECT r, s, sum(opens) OVER (PARTITION BY r ORDER BY s) AS span FROM marked),
+spans AS (SELECT r, span, min(s) AS begun, max(s) + 400 AS stop FROM numbered GROUP BY r, span),
+edges AS (
+  SELECT r, stop AS lo, lead(begun) OVER (PARTITION BY r ORDER BY begun) AS hi FROM spans
+  UNION ALL SELECT r, 1, min(begun) FROM spans GROUP BY r),
+pieces AS (
+  SELECT e.r, string_agg(hex(array_slice(d.b, e.lo, coalesce(e.hi - 1, octet_length(d.b)))), '' ORDER BY e.lo) AS kept
+  FROM edges e JOIN docs d ON d.r = e.r WHERE e.lo < coalesce(e.hi, octet_length(d.b) + 1) GROUP BY e.r),
+sizes AS (SELECT r, sum(stop - begun) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r)
+SELECT d.doc_id, CAST(octet_length(d.b) AS BIGINT) AS n_bytes, CAST(coalesce(z.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(z.n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(CASE WHEN z.r IS NULL THEN d.b ELSE unhex(coalesce(p.kept, '')) END) AS kept_sha256
+FROM docs d LEFT JOIN sizes z ON z.r = d.r LEFT JOIN pieces p ON p.r = d.r
+"""
+}

@@ -492,4 +492,26 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_jaccard_join": op10_jaccard_join}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op10_jaccard_join": r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT r, array_to_string(w[s : s + 4], ' ') AS k
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS s FROM docs WHERE len(w) > 0)),
+sets AS (SELECT r, count(*) AS n, md5(string_agg(md5(k), '' ORDER BY md5(k))) AS id FROM shingles GROUP BY r),
+kinds AS (SELECT id, min(n) AS n, min(r) AS r FROM sets GROUP BY id),
+members AS (SELECT x.id, x.n, g.k FROM kinds x JOIN shingles g ON g.r = x.r),
+shared AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS in_both FROM members a JOIN members b ON a.k = b.k AND a.id < b.id GROUP BY a.id, b.id),
+links AS (
+  SELECT a, b FROM shared WHERE 100 * in_both >= 75 * (na + nb - in_both)
+  UNION ALL SELECT b, a FROM shared WHERE 100 * in_both >= 75 * (na + nb - in_both)),
+reach(a, b) AS (SELECT id, id FROM kinds UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+lowest AS (SELECT s.id, min(d.doc_id) AS doc_id FROM sets s JOIN docs d ON d.r = s.r GROUP BY s.id),
+components AS (SELECT reach.a AS id, min(lowest.doc_id) AS component_id FROM reach JOIN lowest ON lowest.id = reach.b GROUP BY reach.a)
+SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, CAST(coalesce(c.component_id, d.doc_id) AS BIGINT) AS component_id
+FROM docs d LEFT JOIN sets s ON s.r = d.r LEFT JOIN components c ON c.id = s.id
+"""
+}
