@@ -3,7 +3,9 @@
 A payload becomes a mono 8-bit WAV file. What is read back from those stored bytes is
 resampled by a polyphase filter, cut into overlapped frames, turned into log-mel bands,
 and segmented by energy with hysteresis. Bands are stored as tensors of one shape
-(``TENSOR_FRAMES`` x ``MELS``, the last one zero-padded), each with its time span.
+(``TENSOR_FRAMES`` x ``MELS``, the last one zero-padded), each with its time span. Spark has no
+tensor type, so a document's tensors are one Arrow stream in a binary column, whose ``bands``
+are of Arrow's fixed-shape tensor type; ``read_tensors`` gives them back.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ HEADER = 44
 
 SCHEMA = (
     "doc_id long, n_bytes long, media binary, spans array<struct<start_s:double,end_s:double>>, "
-    "tensors array<struct<start_s:double,end_s:double,bands:array<float>>>, band_means array<float>"
+    "n_tensors int, tensors binary, band_means array<float>"
 )
 
 
@@ -119,24 +121,40 @@ def active_spans(bands: np.ndarray) -> list[tuple[int, int]]:
     return spans
 
 
-def describe(media: bytes) -> tuple[list[dict], list[dict], list[float]]:
+TENSOR = pa.fixed_shape_tensor(pa.float32(), (TENSOR_FRAMES, MELS))
+TENSOR_SCHEMA = pa.schema([("start_s", pa.float64()), ("end_s", pa.float64()), ("bands", TENSOR)])
+
+
+def write_tensors(bands: np.ndarray, step: float) -> tuple[int, bytes]:
+    """How many tensors the bands (frames x MELS) fill, and these as an Arrow stream; ``step``: seconds a frame."""
+    n = -(-len(bands) // TENSOR_FRAMES)
+    whole = np.zeros((n, TENSOR_FRAMES, MELS), np.float32)
+    whole.reshape(-1, MELS)[: len(bands)] = bands
+    starts = np.arange(n) * TENSOR_FRAMES
+    ends = np.minimum(starts + TENSOR_FRAMES, len(bands))
+    batch = pa.record_batch([pa.array(starts * step), pa.array(ends * step), pa.FixedShapeTensorArray.from_numpy_ndarray(whole)], schema=TENSOR_SCHEMA)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, TENSOR_SCHEMA) as out:
+        out.write_batch(batch)
+    return n, sink.getvalue().to_pybytes()
+
+
+def read_tensors(stored: bytes) -> pa.Table:
+    """(start_s, end_s, bands) of a stored stream; bands are of the fixed-shape tensor type."""
+    return pa.ipc.open_stream(stored).read_all()
+
+
+def describe(media: bytes) -> tuple[list[dict], tuple[int, bytes], np.ndarray]:
     rate, samples = wav_read(media)
     x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
     out_rate = rate * UP / DOWN
     bands = log_mel(resample(x), out_rate)
     step = HOP / out_rate
-    n = -(-len(bands) // TENSOR_FRAMES)
-    whole = np.zeros((n * TENSOR_FRAMES, MELS), np.float32)
-    whole[: len(bands)] = bands
-    tensors = [
-        {"start_s": i * TENSOR_FRAMES * step, "end_s": min(len(bands), (i + 1) * TENSOR_FRAMES) * step, "bands": t.ravel()}
-        for i, t in enumerate(whole.reshape(n, TENSOR_FRAMES, MELS))
-    ]
-    return [{"start_s": a * step, "end_s": b * step} for a, b in active_spans(bands)], tensors, np.round(bands.mean(axis=0), 3)
+    return [{"start_s": a * step, "end_s": b * step} for a, b in active_spans(bands)], write_tensors(bands, step), np.round(bands.mean(axis=0), 3)
 
 
 def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``id_col``, n_bytes (of the payload), media (a WAV file), active spans, tensors with time spans, band means.
+    """One row per input row: ``id_col``, n_bytes (of the payload), media (a WAV file), active spans, n_tensors, tensors with time spans (an Arrow stream), band means.
 
     Null text is an empty payload (one unit of zeros); null ids stay null; repeated rows each
     get their row with equal values; an empty table gives an empty result; other columns are
@@ -149,17 +167,17 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             media = [wav_write(padded(r)) for r in raw]
             found = [describe(m) for m in media]
             span = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])
-            tensor = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64()), ("bands", pa.list_(pa.float32()))])
             return pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array([len(r) for r in raw], pa.int64()),
                     pa.array(media, pa.binary()),
                     pa.array([x[0] for x in found], pa.list_(span)),
-                    pa.array([x[1] for x in found], pa.list_(tensor)),
+                    pa.array([x[1][0] for x in found], pa.int32()),
+                    pa.array([x[1][1] for x in found], pa.binary()),
                     pa.array([x[2] for x in found], pa.list_(pa.float32())),
                 ],
-                names=[id_col, "n_bytes", "media", "spans", "tensors", "band_means"],
+                names=[id_col, "n_bytes", "media", "spans", "n_tensors", "tensors", "band_means"],
             )
 
         return step
@@ -167,14 +185,6 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return map_slices(keyed_text(df, id_col, text_col), kernel, SCHEMA.replace("doc_id", id_col, 1))
 
 
-def tensor_array(values: pa.ListArray | pa.ChunkedArray) -> pa.Array:
-    """Bands as Arrow's fixed-shape tensor type, for writers that keep extension types."""
-    if isinstance(values, pa.ChunkedArray):
-        values = values.combine_chunks()
-    kind = pa.fixed_shape_tensor(pa.float32(), (TENSOR_FRAMES, MELS))
-    return pa.ExtensionArray.from_storage(kind, values.cast(pa.list_(pa.float32(), TENSOR_FRAMES * MELS)))
-
-
 def op8_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = media_columns(table(spark, sf_dir, "documents"))
     payload = F.expr(f"substring(media, {HEADER + 1}, octet_length(media) - {HEADER})")
@@ -187,7 +197,7 @@ def op8_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.expr(f"substring(payload, octet_length(payload) - {UNIT - 1}, {UNIT})")).alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
-        F.concat_ws("|", F.size("tensors").cast("string"), F.array_join(F.transform("band_means", lambda x: F.round(x, 3).cast("string")), ","), F.sha1(spans)).alias("feature"),
+        F.concat_ws("|", F.col("n_tensors").cast("string"), F.array_join(F.transform("band_means", lambda x: F.round(x, 3).cast("string")), ","), F.sha1(spans)).alias("feature"),
     )
 
 

@@ -54,9 +54,29 @@ def test_query_columns(spark, tmp_path):
     assert media.media_columns(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_tensors_have_one_shape(spark):
-    df = spark.createDataFrame([(1, "x" * 30_000), (2, "")], "doc_id long, text string")
+def test_tensors_are_stored_as_fixed_shape_tensors(spark):
+    texts = ["x" * 30_000, "", "né" * 900]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     for r in media.media_columns(df).collect():
-        assert all(len(t["bands"]) == media.TENSOR_FRAMES * media.MELS and t["end_s"] > t["start_s"] for t in r["tensors"])
-        flat = pa.array([t["bands"] for t in r["tensors"]], pa.list_(pa.float32()))
-        assert media.tensor_array(flat).type.shape == [media.TENSOR_FRAMES, media.MELS]
+        stored = media.read_tensors(bytes(r["tensors"]))
+        assert stored.schema.field("bands").type == pa.fixed_shape_tensor(pa.float32(), (media.TENSOR_FRAMES, media.MELS))
+        rate, samples = media.wav_read(bytes(r["media"]))
+        x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
+        bands = media.log_mel(media.resample(x), rate * media.UP / media.DOWN)
+        values = stored["bands"].combine_chunks().to_numpy_ndarray()
+        assert len(values) == r["n_tensors"] == -(-len(bands) // media.TENSOR_FRAMES)
+        flat = values.reshape(-1, media.MELS)
+        np.testing.assert_array_equal(flat[: len(bands)], bands)
+        assert not flat[len(bands) :].any()
+        spans = list(zip(stored["start_s"].to_pylist(), stored["end_s"].to_pylist(), strict=True))
+        assert all(a < b for a, b in spans) and all(b == c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
+
+
+def test_log_mel_matches_the_transform_written_out():
+    rate = 6000.0
+    y = np.random.default_rng(2).normal(size=media.FRAME + media.HOP).astype(np.float32)
+    window, bank = media._mel_bank(rate)
+    k, n = np.arange(media.FRAME // 2 + 1), np.arange(media.FRAME)
+    waves = np.exp(-2j * np.pi * np.outer(k, n) / media.FRAME)
+    brute = [np.log10(np.abs(waves @ (y[a : a + media.FRAME] * window)) ** 2 @ bank + 1e-6) for a in (0, media.HOP)]
+    np.testing.assert_allclose(media.log_mel(y, rate), brute, atol=1e-3)
